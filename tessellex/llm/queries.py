@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessellex.llm.canonical import canonical_documents, reading_pairs
 from tessellex.llm.split import oversized_blocks, split_documents
 from tessellex.session import collect_bounded, table
 
@@ -42,3 +43,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     limit, overlap = size_limit(spark, folder, "char")
     return split_documents(table(spark, folder, "documents", "doc_id", "text"), limit, overlap)
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_pairs(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("p5_texts")
+def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical_documents(table(spark, folder, "documents", "doc_id", "text"))
