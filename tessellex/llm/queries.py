@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessellex.llm.canonical import canonical_documents, reading_pairs
+from tessellex.llm.sentences import fit_periods, sentence_units
 from tessellex.llm.split import oversized_blocks, split_documents
+from tessellex.operators.nested import nested_rows
 from tessellex.session import collect_bounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +56,36 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p5_texts")
 def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_documents(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    model = fit_periods(docs, table(spark, folder, "lang_samples", "lang", "text"))
+    return sentence_units(docs, model)
+
+
+@query("p4_texts")
+def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The units with their texts."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    model = fit_periods(docs, table(spark, folder, "lang_samples", "lang", "text"))
+    return sentence_units(docs, model, with_text=True)
+
+
+@query("p4_payloads")
+def p4_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Units of the payloads' own texts, beside the sentences they came with."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    model = fit_periods(docs, table(spark, folder, "lang_samples", "lang", "text"))
+    records = table(spark, folder, "annotation_records", "record_id", "payload")
+    texts = F.coalesce(F.get_json_object("payload", "$.text"), F.get_json_object("payload", "$.document.text"))
+    texts = records.select(F.col("record_id").alias("doc_id"), texts.alias("text")).distinct()
+    units = sentence_units(texts, model).withColumnRenamed("doc_id", "record_id")
+    given = nested_rows(records, kinds=("sentence",)).select(
+        "record_id",
+        F.coalesce(F.col("fields")["characteroffsetbegin"].try_cast("bigint"), F.lit(0)).alias("begin_char"),
+        F.col("fields")["characteroffsetend"].try_cast("bigint").alias("end_char"),
+    )
+    given = given.distinct().withColumn("given", F.lit(True))
+    return units.join(given, ["record_id", "begin_char", "end_char"], "full").withColumn("given", F.coalesce("given", F.lit(False)))

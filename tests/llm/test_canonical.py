@@ -19,8 +19,8 @@ def test_spliced_equals_whole_normalization():
 def test_forms_that_read_the_same():
     same = [
         ("Ｆｉｇ １２", "Fig 12"),
-        ("café x", "café x"),
-        ("so​ft­ly⁠", "softly"),
+        ("café\u00a0x", "café x"),
+        ("so\u200bft\u00adly\u2060", "softly"),
         ("ﬁne ﬃ", "fine ffi"),
         ("⼈⼤", "人大"),
         ("كﻻ", "كلا"),
@@ -41,14 +41,14 @@ def test_forms_that_stay_apart():
 
 
 def test_emoji_joiners_stay():
-    family = "\U0001f468‍\U0001f469"
-    assert normalize_segments("x‍y " + family) == "xy " + family
+    family = "\U0001f468\u200d\U0001f469"
+    assert normalize_segments("x\u200dy " + family) == "xy " + family
 
 
 def test_pairs_against_all_pairs(spark):
     rng = random.Random(9)
     base = ["one two", "The cat", "Мама мыла", "café"]
-    change = [lambda t: t, lambda t: t.replace(" ", " "), lambda t: unicodedata.normalize("NFD", t), lambda t: t.replace("a", "а"), lambda t: t + "​", str.upper]
+    change = [lambda t: t, lambda t: t.replace(" ", "\u2009"), lambda t: unicodedata.normalize("NFD", t), lambda t: t.replace("a", "а"), lambda t: t + "\u200b", str.upper]
     texts = [rng.choice(change)(rng.choice(base)) for _ in range(80)] + [None, "", ""]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, key string")
     got = [tuple(r) for r in reading_pairs(docs, hot_share=0.001).collect()]

@@ -87,7 +87,7 @@ def test_cut_off_payloads_are_incomplete():
 
 def test_defined_results_for_odd_rows(spark):
     good = '{"sentence":[{"token":[{"word":"a","lemma":null}],"extra":1}],"quote":{"text":"q"}}'
-    rows = [(1, None, 5), (2, "", 5), (3, "not json", 5), (None, good, 5), (4, good, 5), (4, good, 6), (5, "[]", 5), (6, "﻿" + good, 5)]
+    rows = [(1, None, 5), (2, "", 5), (3, "not json", 5), (None, good, 5), (4, good, 5), (4, good, 6), (5, "[]", 5), (6, "\ufeff" + good, 5)]
     source = spark.createDataFrame(rows, "record_id bigint, payload string, child_id int")
     out = nested_rows(source)
     links = {tuple(r) for r in distinct_links(out).collect()}
