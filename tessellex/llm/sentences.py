@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellex.llm.canonical import _TO_LATIN, normalize_segments
-from tessellex.session import collect_bounded
+from tessellex.session import collect_bounded, cut_lineage
 
 _INVISIBLE = "\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe0f\ufeff"
 _SYMBOL = "\u2190-\u21ff\u2300-\u23ff\u2460-\u27bf\u2900-\u2bff\U0001f000-\U0001faff\ufe0f\u200d"
@@ -589,11 +589,10 @@ def fit_periods(docs: DataFrame, samples: DataFrame, text_column: str = "text",
     """
     rows = collect_bounded(samples.select("lang", "text"), max_samples, "language samples")
     votes = language_votes([(r.lang, r.text) for r in rows if r.lang and r.text])
-    learned = learn_periods(period_statistics(docs, votes, text_column))
-    learned.persist()
-    model = period_model(learned, votes)
-    learned.unpersist()
-    return model
+    # read five times below: counted once
+    stats = cut_lineage(period_statistics(docs, votes, text_column))
+    learned = cut_lineage(learn_periods(stats))
+    return period_model(learned, votes)
 
 
 def sentence_units(docs: DataFrame, model: PeriodModel, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from tessellex.llm.sentences import PeriodModel, Splitter, fit_periods, sentence
 TEXTS = {
     "en": ["Dr. Lamo Kit met Mr. Vone Tiki at 5 p.m. in town. They sold nails, etc. before noon. The cat in town sat by the stove.\n\nDr. Kit left."] * 30,
     "de": ["Am 7. März fand Hr. Nofi Zaluno z. B. Mehl. Die Katze schlief im Regen.\n\nIm Jahr 12. Die Frau kam am 7. März."] * 30,
-    "ru": ["Проф. Тику Лезале ест хлеб. В г. Вельм идёт дождь.\n\nПроф. Тику спит."] * 30,
+    "ru": ["Проф. Тику Лезале ест хлеб и сыр. В г. Вельм идёт дождь, хлеб мокнет.\n\nПроф. Тику спит."] * 30,
     "hi": ["प्रो. तोजु बोनीवो गाता है। चाचा दौड़ता है।"] * 30,
 }
 
