@@ -216,7 +216,7 @@ def reading_keys(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def make(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.dropna()
-        return pd.DataFrame({"doc_id": batch["doc_id"].astype("int64"), "key": [reading_key(t) for t in batch["text"]], "exact": [xxhash.xxh3_128_hexdigest(t) for t in batch["text"]]})
+        return pd.DataFrame({"doc_id": batch["doc_id"].astype("int64").tolist(), "key": [reading_key(t) for t in batch["text"]], "exact": [xxhash.xxh3_128_hexdigest(t) for t in batch["text"]]}, dtype=object)
 
     return _map(docs, id_column, text_column, "doc_id bigint, key string, exact string", make)
 

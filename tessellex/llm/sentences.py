@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellex.llm.canonical import _TO_LATIN, normalize_segments
+from tessellex.llm.canonical import _FOREIGN, _TO_LATIN, normalize_segments
 from tessellex.session import collect_bounded, cut_lineage
 
 _INVISIBLE = "\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe0f\ufeff"
@@ -35,10 +35,10 @@ _CANDIDATE = re.compile(rf"[.{_STRONG}][.{_STRONG}{_INVISIBLE}]*")
 _TAIL_SYMBOLS = re.compile(rf"[^\S\n]*(?:[{_SYMBOL}]+[^\S\n]*)*[{_SYMBOL}]+|[{_INVISIBLE}]+")
 _ENDS_CLOSED = re.compile(rf"[.{_STRONG}][{_CLOSE}{_SYMBOL}{_INVISIBLE}\s]*\Z")
 _QUOTE = re.compile("[\"“”„«»‘’‚\u2039\u203a「」『』]")
-_BLOCK = re.compile(r"[^\S\n\u2029]*(?:\n[^\S\n]*\n|\u2029)\s*")
-_LINE = re.compile(r"[^\S\n\u2028]*[\n\u2028][^\S\n]*")
+_BLOCK = re.compile(r"(?:\u2029|\n(?=[^\S\n]*[\n\u2029]))\s*")
+_LINE = re.compile(r"[\n\u2028][^\S\n]*")
 _FIRST = re.compile(rf"[\s{_INVISIBLE}{_OPEN}—–-]*")
-_TOKEN_BEFORE = re.compile(rf"[^\s{_OPEN}]*\Z")
+_OPEN_SIGNS = _OPEN.replace("\\", "")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"\S{31,}")
 _CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
@@ -53,12 +53,14 @@ _REPORT = re.compile(
 )
 
 _SCRIPTS = (
-    ("ja", re.compile("[\u3040-\u30ff]")),
-    ("zh", re.compile("[\u3400-\u9fff]")),
-    ("ru", re.compile("[а-яё]")),
-    ("ar", re.compile("[\u0620-\u064a]")),
-    ("hi", re.compile("[\u0904-\u0939]")),
+    ("ja", re.compile("[\u3040-\u30ff]+")),
+    ("zh", re.compile("[\u3400-\u9fff]+")),
+    ("ru", re.compile("[бвгджзийклмнптфцчшщъыьэюя]+")),
+    ("ar", re.compile("[\u0620-\u064a]+")),
+    ("hi", re.compile("[\u0900-\u0963]+")),
 )
+_EAST = re.compile("[\u0400-\u9fff]")
+_UPPER = re.compile("[A-Z\u00c0-\u00de\u0391-\u03a9\u0400-\u042f\uff21-\uff3a]")
 _OWN_SCRIPT = frozenset(name for name, _ in _SCRIPTS)
 _LATIN_WORD = re.compile("[a-zß-ÿ]+")
 
@@ -96,18 +98,27 @@ def language_votes(samples: list[tuple[str, str]]) -> dict[str, str]:
     return votes
 
 
-def block_language(text: str, votes: dict[str, str]) -> str:
-    """Script first, then the words only one language has."""
-    sample = text if len(text) <= 4000 else text[:2000] + text[-2000:]
-    counts = {lang: len(p.findall(sample)) for lang, p in _SCRIPTS} if not sample.isascii() else {}
-    if counts and max(counts.values()) * 4 > len(sample):
-        return max(counts, key=counts.get)
-    if counts.get("ja", 0) * 8 > counts.get("zh", 0) > 0:
-        return "ja"
-    tally = Counter(filter(None, map(votes.get, _LATIN_WORD.findall(sample))))
-    if tally:
-        return tally.most_common(1)[0][0]
-    return max(counts, key=counts.get) if counts and max(counts.values()) else "xx"
+def text_language(text: str, tokens: list[str], votes: dict[str, str]) -> tuple[str, bool]:
+    """Language by script, then by the words that only one language has.
+
+    Also tells whether the text holds nothing that speaks for another one.
+    """
+    tally: Counter = Counter()
+    if not text.isascii() and _EAST.search(text):
+        counts = Counter({lang: len(p.findall(text)) for lang, p in _SCRIPTS if p.search(text)})
+        if counts["ja"] * 8 > counts["zh"]:
+            counts["ja"] += counts.pop("zh", 0)
+        elif counts["ja"]:
+            counts["zh"] += counts.pop("ja", 0)
+        tally.update({k: n for k, n in counts.items() if n})
+    if not tally or len(tally) > 1 or _LATIN_WORD.search(text):
+        if _FOREIGN.search(text):  # look-alike letters
+            tokens = [t.translate(_TO_LATIN) for t in tokens]
+        tally.update(filter(None, map(votes.get, tokens)))
+    if not tally:
+        return "xx", True
+    (lang, n), *rest = tally.most_common(2)
+    return lang, not rest or rest[0][1] * 50 <= n
 
 
 def _follows(text: str, at: int) -> str:
@@ -171,17 +182,20 @@ def _segments(block: str) -> Iterator[tuple[int, int]]:
         return
     edges = [0, *(m.end() for m in breaks), len(block)]
     ends = [*(m.start() for m in breaks), len(block)]
-    lines = [block[a:b] for a, b in zip(edges, ends)]
+    lines = [block[a:b].rstrip() for a, b in zip(edges, ends)]
+    if all(_ENDS_CLOSED.search(line[-16:]) for line in lines[:-1]):
+        yield 0, len(block)
+        return
     width = max(map(len, lines))
     # filled by a wrapping writer: no line had room for the next one's first word
     filled = all(_full(a, b, width) for a, b in zip(lines, lines[1:]))
-    cased = block != block.lower()
-    flow = sum(1 for a, b in zip(lines, lines[1:]) if not _ENDS_CLOSED.search(a) and _follows(b, 0) == "lower" and not _RUN.fullmatch(b.split(None, 1)[0] if b else ""))
+    cased = _UPPER.search(block) is not None
+    flow = sum(1 for a, b in zip(lines, lines[1:]) if not _ENDS_CLOSED.search(a[-16:]) and _follows(b, 0) == "lower" and not _RUN.fullmatch(b.split(None, 1)[0] if b else ""))
     wrapped = filled and (len(lines) >= 4 or flow > 0) and width <= 200
     start = 0
     for i, match in enumerate(breaks):
         line, after = lines[i], lines[i + 1]
-        if _ENDS_CLOSED.search(line):
+        if _ENDS_CLOSED.search(line[-16:]):
             continue
         last = line[-1:]
         kind = _follows(after, 0)
@@ -257,10 +271,13 @@ class Splitter:
     def spans(self, text: str | None) -> list[tuple[int, int]]:
         """Offsets of the units of a text."""
         out: list[tuple[int, int]] = []
-        for a, b in _blocks(text or ""):
+        if not text:
+            return out
+        main, alone = text_language(text, text.split(), self.model.votes)
+        for a, b in _blocks(text):
             block = text[a:b]
-            lang = block_language(block, self.model.votes)
-            lowered = block == block.lower()
+            lang = main if alone else text_language(block, block.split(), self.model.votes)[0]
+            lowered = _UPPER.search(block) is None
             for c, d in _segments(block):
                 out.extend((a + c + x, a + c + y) for x, y in self._cut(block[c:d], lang, lowered))
         return out
@@ -381,10 +398,11 @@ class Splitter:
                 return False
             return kind in ("upper", "other") or (kind in ("word", "digit", "lower") and end > stop and kind != "lower") or "\n" in text[end : end + 3] and kind != "lower"
         spaced = nxt.isspace()
-        token = _TOKEN_BEFORE.search(text, max(0, at - 40), at)[0]
+        near = text[max(0, at - 40) : at]
+        token = near.split()[-1].lstrip(_OPEN_SIGNS) if near and not near[-1].isspace() else ""
         if not spaced and end == stop:
             if not nxt.isalnum():
-                opener = nxt in _OPEN.replace("\\", "") and nxt not in ")]"
+                opener = nxt in _OPEN_SIGNS and nxt not in ")]"
                 if not opener:
                     tail = _TAIL_SYMBOLS.match(text, end)
                     if not tail or (nxt in "-'’/@"):
@@ -437,7 +455,7 @@ def _OTHER_SCRIPT(char: str) -> bool:
 # ---------------------------------------------------------------- statistics
 
 _FIELDS = ("with_period", "bare", "lower", "upper", "digit", "block_end", "comma", "starts")
-_PERIOD_TOKEN = re.compile(rf"([^\s{_OPEN}]+)\.(?![^\s{_CLOSE},;:{_INVISIBLE}])")
+_CLOSERS = "\"'”’»)]"
 STATS_SCHEMA = "lang string, kind string, type string, " + ", ".join(f"{f} bigint" for f in _FIELDS)
 
 
@@ -446,36 +464,49 @@ def count_types(texts: list[str], votes: dict[str, str]) -> dict[tuple[str, str,
     counts: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0] * len(_FIELDS))
     surface: dict[str, Counter] = defaultdict(Counter)
     for text in texts:
+        if "." not in text:
+            continue
+        whole = text.split()
+        main, alone = text_language(text, whole, votes)
+        if alone and main in ("zh", "ja"):
+            continue
         for a, b in _blocks(text):
             block = text[a:b]
-            lang = block_language(block, votes)
-            if lang in ("zh", "ja") or "." not in block or block == block.lower() and lang not in ("ar", "hi"):
-                continue
+            tokens = block.split()
+            lang = main if alone else text_language(block, tokens, votes)[0]
             latin = lang not in _OWN_SCRIPT
-            surface[lang].update(block.split())
+            if lang in ("zh", "ja") or "." not in block or _UPPER.search(block) is None and (latin or lang == "ru"):
+                continue
+            surface[lang].update(tokens)
             for line in block.split("\n"):
                 first = _FIRST.match(line).end()
                 word = _LETTERS.match(line, first)
                 if word:
                     counts[(lang, "word", _type(word[0], latin))][7] += 1
-            for m in _PERIOD_TOKEN.finditer(block):
-                kind = _type(m[1], latin)
+            tokens.append("")
+            for i, token in [(i, t) for i, t in enumerate(tokens) if "." in t]:
+                plain = token.rstrip(_CLOSERS)
+                comma = plain[-1:] in (",", ";", ":") and plain[-2:-1] == "."
+                if comma:
+                    plain = plain[:-1]
+                elif plain[-1:] != ".":
+                    continue
+                kind = _type(plain[:-1].lstrip(_OPEN_SIGNS), latin)
                 if not kind or len(kind) > 15:
                     continue
                 entry = counts[(lang, "word", kind)]
                 entry[0] += 1
-                at = m.end()
-                nxt = block[at : at + 1]
-                if nxt and nxt in ",;:":
+                if comma:
                     entry[6] += 1
                     continue
-                after = _follows(block, at)
-                if after == "end":
+                following = tokens[i + 1]
+                after = _follows(following, 0)
+                if not following:
                     entry[5] += 1
                 elif after in ("upper", "lower", "digit"):
                     entry[2 if after == "lower" else 3 if after == "upper" else 4] += 1
-                if kind == "#":
-                    word = _LETTERS.match(block, at + 1) if nxt.isspace() else None
+                if kind == "#" and following[:1].isalpha():
+                    word = _LETTERS.match(following)
                     if word and len(word[0]) > 1:
                         counts[(lang, "pair", _type(word[0], latin))][0] += 1
     strip = "\"'“”„’‘«»()[],;:!?"
@@ -497,7 +528,7 @@ def period_statistics(docs: DataFrame, votes: dict[str, str], text_column: str =
         for batch in batches:
             counts = count_types([t for t in batch["text"] if t], votes)
             rows = [(*k, *v) for k, v in counts.items() if k[1] != "word" or v[0] or v[7] or v[1] > 0]
-            yield pd.DataFrame(rows, columns=["lang", "kind", "type", *_FIELDS])
+            yield pd.DataFrame(rows, columns=["lang", "kind", "type", *_FIELDS], dtype=object)
 
     rows = docs.select(F.col(text_column).alias("text")).mapInPandas(run, STATS_SCHEMA)
     return rows.groupBy("lang", "kind", "type").agg(*(F.sum(f).alias(f) for f in _FIELDS))
@@ -617,6 +648,6 @@ def sentence_units(docs: DataFrame, model: PeriodModel, id_column: str = "doc_id
                     if with_text:
                         texts.append(text[a:b])
             out = {"doc_id": pd.array(ids, "Int64"), "begin_char": pd.array(begins, "int64"), "end_char": pd.array(ends, "int64")}
-            yield pd.DataFrame(out | ({"text": texts} if with_text else {}))
+            yield pd.DataFrame(out | ({"text": pd.Series(texts, dtype=object)} if with_text else {}))
 
     return docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).mapInPandas(run, schema)
