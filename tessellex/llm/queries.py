@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellex.llm.canonical import canonical_documents, reading_pairs
+from tessellex.llm.language import document_languages, fit_languages, language_segments, wrongly_labelled
 from tessellex.llm.sentences import fit_periods, sentence_units
 from tessellex.llm.split import oversized_blocks, split_documents
 from tessellex.operators.nested import nested_rows
@@ -89,3 +90,21 @@ def p4_payloads(spark: SparkSession, folder: str) -> DataFrame:
     )
     given = given.distinct().withColumn("given", F.lit(True))
     return units.join(given, ["record_id", "begin_char", "end_char"], "full").withColumn("given", F.coalesce("given", F.lit(False)))
+
+
+def _language_net(spark: SparkSession, folder: str):
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    return docs, fit_languages(table(spark, folder, "lang_samples", "lang", "text"), docs)
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs, net = _language_net(spark, folder)
+    return wrongly_labelled(document_languages(docs, net))
+
+
+@query("p2_segments")
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Stretches in one language with their confidence."""
+    docs, net = _language_net(spark, folder)
+    return language_segments(docs, net)
