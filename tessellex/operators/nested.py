@@ -372,7 +372,7 @@ def nested_rows(
         columns = ["record_id", "child_kind", "child_id", "parent_kind", "parent_id", "child_seq", "fields"]
         for batch in batches:
             texts = [None if x is None else x.encode("utf-8", "replace") for x in batch["payload"]]
-            ids = batch["record_id"].tolist()
+            ids = [None if pd.isna(i) else int(i) for i in batch["record_id"]]
             lo = 0
             while lo < len(texts):
                 hi, room = lo, batch_bytes
@@ -384,10 +384,7 @@ def nested_rows(
                 if part:
                     rows = _Walker(levels, chosen, with_fields).run([p[0] for p in part], [p[1] for p in part])
                     if rows:
-                        frame = pd.DataFrame(rows, columns=columns)
-                        frame["record_id"] = frame["record_id"].astype("Int64")
-                        frame["parent_id"] = frame["parent_id"].astype("Int64")
-                        yield frame
+                        yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     source = records.select(F.col(id_column).cast("bigint").alias("record_id"), F.col(payload_column).alias("payload"))
     return source.mapInPandas(run, ROW_SCHEMA)
