@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessellex.llm.canonical import canonical_documents, reading_pairs
 from tessellex.llm.language import document_languages, fit_languages, language_segments, wrongly_labelled
+from tessellex.llm.leakage import leaked_documents, leaked_sentences
 from tessellex.llm.sentences import fit_periods, sentence_units
 from tessellex.llm.split import oversized_blocks, split_documents
 from tessellex.operators.nested import nested_rows
@@ -108,3 +109,14 @@ def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Stretches in one language with their confidence."""
     docs, net = _language_net(spark, folder)
     return language_segments(docs, net)
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_documents(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+
+
+@query("p7_sentences")
+def p7_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every leaked sentence, also those that came back with other parameters."""
+    return leaked_sentences(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
