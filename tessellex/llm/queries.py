@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessellex.llm.canonical import canonical_documents, reading_pairs
 from tessellex.llm.language import document_languages, fit_languages, language_segments, wrongly_labelled
 from tessellex.llm.leakage import leaked_documents, leaked_sentences
+from tessellex.llm.packing import container_fill, pack_documents
 from tessellex.llm.sentences import fit_periods, sentence_units
 from tessellex.llm.split import oversized_blocks, split_documents
 from tessellex.operators.nested import nested_rows
@@ -120,3 +121,16 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p7_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Every leaked sentence, also those that came back with other parameters."""
     return leaked_sentences(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+
+
+@query("p6_containers")
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    capacity, _ = size_limit(spark, folder, "token")
+    return pack_documents(table(spark, folder, "documents", "doc_id", "text"), capacity)
+
+
+@query("p6_fill")
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of containers and how full they are."""
+    capacity, _ = size_limit(spark, folder, "token")
+    return container_fill(pack_documents(table(spark, folder, "documents", "doc_id", "text"), capacity), capacity)
