@@ -11,6 +11,7 @@ from tessellex.llm.canonical import canonical_documents, reading_pairs
 from tessellex.llm.language import document_languages, fit_languages, language_segments, wrongly_labelled
 from tessellex.llm.leakage import leaked_documents, leaked_sentences
 from tessellex.llm.packing import container_fill, pack_documents
+from tessellex.llm.reading import fit_levels, reading_levels
 from tessellex.llm.sentences import fit_periods, sentence_units
 from tessellex.llm.split import oversized_blocks, split_documents
 from tessellex.operators.nested import nested_rows
@@ -134,3 +135,24 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Number of containers and how full they are."""
     capacity, _ = size_limit(spark, folder, "token")
     return container_fill(pack_documents(table(spark, folder, "documents", "doc_id", "text"), capacity), capacity)
+
+
+def _levels(spark: SparkSession, folder: str):
+    docs = table(spark, folder, "documents", "doc_id", "text", "n_chars")
+    model = fit_levels(docs, table(spark, folder, "labels", "doc_id", "level"), table(spark, folder, "lang_samples", "lang", "text"))
+    return docs, model
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs, model = _levels(spark, folder)
+    levels = reading_levels(docs.where("n_chars >= 400"), model)
+    return levels.select("doc_id", F.col("level").cast("string").alias("level"))
+
+
+@query("p8_profile")
+def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents per source and level, for profiles of the corpus."""
+    docs, model = _levels(spark, folder)
+    sources = table(spark, folder, "documents", "doc_id", "source")
+    return reading_levels(docs, model).join(sources, "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"), F.avg("score").alias("score"))
