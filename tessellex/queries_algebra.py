@@ -116,7 +116,9 @@ def flagship_top_words(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("ngram_word_topk", r"WITH t AS (SELECT regexp_extract_all(text, '[^ \t\r\n]+') AS w FROM documents), g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM t) SELECT gram, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, gram LIMIT 100")
 def ngram_word_topk(spark: SparkSession, folder: str) -> DataFrame:
-    grams = table(spark, folder, "documents", "text").select(F.explode(T.ngrams(T.whitespace_tokens(F.col("text")), 2)).alias("gram"))
+    # the tokens are a column of their own, else each n-gram would find them again
+    rows = table(spark, folder, "documents", "text").select(T.whitespace_tokens(F.col("text")).alias("w"))
+    grams = rows.select(F.explode(T.ngrams(F.col("w"), 2)).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(100)
 
 
