@@ -303,8 +303,13 @@ def fit_languages(samples: DataFrame, docs: DataFrame | None = None, max_samples
     net, par = train_network(windows, targets, languages, epochs=epochs[0])
     if docs is None:
         return net
-    some = docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(id_column, label_column, text_column)
-    some = some.orderBy(F.xxhash64(id_column)).limit(max_docs).collect()
+    some = docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull())
+    # a share of the hash range that holds a few more than max_docs, so that
+    # no task sends more than its part to the driver
+    rank = F.pmod(F.xxhash64(id_column), F.lit(1 << 30))
+    share = min(1.0, (1.1 * max_docs + 100) / max(1, docs.select(id_column).count()))
+    some = some.where(rank < int(share * (1 << 30))).select(id_column, label_column, text_column, rank.alias("_rank")).collect()
+    some = sorted(some, key=lambda r: (r[3], str(r[0])))[:max_docs]
     extra = []
     for r in sorted(some, key=lambda r: str(r[0])):
         code = parse_label(r[1])
