@@ -40,8 +40,8 @@ def gazetteer_ner(spark: SparkSession, folder: str) -> DataFrame:
     return E.gazetteer_matches(documents(spark, folder), phrases).groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
 
 
-@query("tokensregex_rules")
-def tokensregex_rules(spark: SparkSession, folder: str) -> DataFrame:
+@query("token_rules")
+def token_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rules over the sentences of the CoNLL-U tables."""
     rows = table(spark, folder, "conllu_tokens", "doc_id", "sent_id", "id", "form", "lemma", "upos").where(F.col("id").rlike("^[0-9]+$") & F.col("sent_id").isNotNull() & F.col("form").isNotNull())
     token = F.struct(F.col("id").cast("int").alias("idx"), F.col("form").alias("word"), "lemma", F.col("upos").alias("tag"))

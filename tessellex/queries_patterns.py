@@ -19,39 +19,39 @@ def graphs(spark: SparkSession, folder: str) -> GraphPatterns:
     return GraphPatterns(rows.select("graph", "idx", "form", "upos").distinct(), edges)
 
 
-def semgrex(name: str, pattern: str, sql: str) -> None:
+def graph_pattern(name: str, pattern: str, sql: str) -> None:
     query(name, f"WITH {GRAPH} " + sql)(lambda spark, folder: graphs(spark, folder).find(pattern))
 
 
-semgrex(
-    "semgrex_subject_object",
+graph_pattern(
+    "graph_pattern_subject_object",
     "{upos:VERB} >nsubj {}=s >obj {}=o",
     "SELECT DISTINCT n.graph, n.idx AS node, a.dep AS o, b.dep AS s FROM n JOIN e a ON a.graph = n.graph AND a.gov = n.idx AND a.reln = 'obj' JOIN e b ON b.graph = n.graph AND b.gov = n.idx AND b.reln = 'nsubj' JOIN n x ON x.graph = n.graph AND x.idx = a.dep JOIN n y ON y.graph = n.graph AND y.idx = b.dep WHERE n.upos = 'VERB'",
 )
-semgrex(
-    "semgrex_negation",
+graph_pattern(
+    "graph_pattern_negation",
     "{upos:/NOUN|PROPN/} !>det {}",
     "SELECT DISTINCT graph, idx AS node FROM n WHERE regexp_full_match(upos, 'NOUN|PROPN') AND NOT EXISTS (SELECT 1 FROM e JOIN n d ON d.graph = e.graph AND d.idx = e.dep WHERE e.graph = n.graph AND e.gov = n.idx AND e.reln = 'det')",
 )
-semgrex(
-    "semgrex_adjacent",
+graph_pattern(
+    "graph_pattern_adjacent",
     "{upos:ADJ} . {upos:NOUN}=n",
     "SELECT DISTINCT n.graph, n.idx AS node, b.idx AS n FROM n JOIN n b ON b.graph = n.graph AND b.idx = n.idx + 1 AND b.upos = 'NOUN' WHERE n.upos = 'ADJ'",
 )
-semgrex(
-    "semgrex_sisters",
+graph_pattern(
+    "graph_pattern_sisters",
     "{upos:NOUN} $++ {upos:ADV}=a",
     "SELECT DISTINCT n.graph, n.idx AS node, b.idx AS a FROM n JOIN e x ON x.graph = n.graph AND x.dep = n.idx JOIN e y ON y.graph = n.graph AND y.gov = x.gov AND y.dep > x.dep JOIN n b ON b.graph = n.graph AND b.idx = y.dep AND b.upos = 'ADV' WHERE n.upos = 'NOUN'",
 )
-semgrex(
-    "semgrex_optional_edge",
+graph_pattern(
+    "graph_pattern_optional_edge",
     "{upos:VERB} ?>/nsubj|obj/~r {}=x",
     "SELECT DISTINCT n.graph, n.idx AS node, p.dep AS x, p.reln AS r FROM n LEFT JOIN (SELECT e.* FROM e JOIN n d ON d.graph = e.graph AND d.idx = e.dep WHERE regexp_full_match(e.reln, 'nsubj|obj')) p ON p.graph = n.graph AND p.gov = n.idx WHERE n.upos = 'VERB'",
 )
 
 
-@query("semgrex_transitive", f"WITH RECURSIVE {GRAPH}, c(graph, a, b) AS (SELECT graph, gov, dep FROM e UNION SELECT c.graph, c.a, e.dep FROM c JOIN e ON e.graph = c.graph AND e.gov = c.b WHERE c.a <> e.dep) SELECT DISTINCT n.graph, n.idx AS node, c.b AS d FROM n JOIN c ON c.graph = n.graph AND c.a = n.idx JOIN n m ON m.graph = n.graph AND m.idx = c.b AND m.upos = 'NUM' WHERE n.upos = 'VERB'")
-def semgrex_transitive(spark: SparkSession, folder: str) -> DataFrame:
+@query("graph_pattern_transitive", f"WITH RECURSIVE {GRAPH}, c(graph, a, b) AS (SELECT graph, gov, dep FROM e UNION SELECT c.graph, c.a, e.dep FROM c JOIN e ON e.graph = c.graph AND e.gov = c.b WHERE c.a <> e.dep) SELECT DISTINCT n.graph, n.idx AS node, c.b AS d FROM n JOIN c ON c.graph = n.graph AND c.a = n.idx JOIN n m ON m.graph = n.graph AND m.idx = c.b AND m.upos = 'NUM' WHERE n.upos = 'VERB'")
+def graph_pattern_transitive(spark: SparkSession, folder: str) -> DataFrame:
     return graphs(spark, folder).find("{upos:VERB} >> {upos:NUM}=d")
 
 
@@ -66,10 +66,10 @@ def trees(spark: SparkSession, folder: str) -> TreePatterns:
     return TreePatterns(tree_nodes(rows.groupBy("graph").agg(F.concat(F.lit("(ROOT "), text, F.lit(")")).alias("bracket"))))
 
 
-def tregex(name: str, pattern: str, sql: str) -> None:
+def tree_pattern(name: str, pattern: str, sql: str) -> None:
     query(name, f"WITH {TREE} " + sql)(lambda spark, folder: trees(spark, folder).find(pattern).groupBy("graph").agg(F.count("*").alias("n")))
 
 
-tregex("tregex_sisters", "NOUN $+ VERB=v", "SELECT a.graph, count(*) AS n FROM f a JOIN f b ON b.graph = a.graph AND b.k = a.k + 1 AND b.upos = 'VERB' WHERE a.upos = 'NOUN' GROUP BY 1")
-tregex("tregex_precedes", "ADJ .. PUNCT=p", "SELECT a.graph, count(*) AS n FROM f a JOIN f b ON b.graph = a.graph AND b.k > a.k AND b.upos = 'PUNCT' WHERE a.upos = 'ADJ' GROUP BY 1")
-tregex("tregex_dominates", "ROOT << VERB=v !<< ADV", "SELECT graph, count(*) AS n FROM f WHERE upos = 'VERB' AND graph NOT IN (SELECT graph FROM f WHERE upos = 'ADV') GROUP BY 1")
+tree_pattern("tree_pattern_sisters", "NOUN $+ VERB=v", "SELECT a.graph, count(*) AS n FROM f a JOIN f b ON b.graph = a.graph AND b.k = a.k + 1 AND b.upos = 'VERB' WHERE a.upos = 'NOUN' GROUP BY 1")
+tree_pattern("tree_pattern_precedes", "ADJ .. PUNCT=p", "SELECT a.graph, count(*) AS n FROM f a JOIN f b ON b.graph = a.graph AND b.k > a.k AND b.upos = 'PUNCT' WHERE a.upos = 'ADJ' GROUP BY 1")
+tree_pattern("tree_pattern_dominates", "ROOT << VERB=v !<< ADV", "SELECT graph, count(*) AS n FROM f WHERE upos = 'VERB' AND graph NOT IN (SELECT graph FROM f WHERE upos = 'ADV') GROUP BY 1")
