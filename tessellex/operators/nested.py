@@ -49,6 +49,7 @@ class StructuralIndex:
     doc: np.ndarray
     complete: np.ndarray = field(repr=False)
     _by_owner: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict, repr=False)
+    _signs: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, texts: list[bytes]) -> StructuralIndex:
@@ -146,6 +147,18 @@ class StructuralIndex:
         colon = self._inside(_COLON, owners)
         return colon, self.owner[colon]
 
+    def may_fold_to(self, colon: np.ndarray, names: Iterable[str]) -> np.ndarray:
+        """Which keys before the given colons can fold to one of the names, by their length.
+
+        Underscores and hyphens don't count; a key beyond ASCII always can, as
+        lower case may change its length.
+        """
+        if self._signs is None:
+            self._signs = np.flatnonzero((self.data == 95) | (self.data == 45)), np.flatnonzero(self.data > 127)
+        lo, hi = self.pos[colon - 2] + 1, self.pos[colon - 1]
+        signs, wide = (np.searchsorted(x, hi) - np.searchsorted(x, lo) for x in self._signs)
+        return np.isin(hi - lo - signs, [len(n) for n in names]) | (wide > 0)
+
     def children(self, owners: np.ndarray) -> np.ndarray:
         """Entries of the brackets that open directly inside the given brackets."""
         return self._inside(_OPEN, owners)
@@ -312,10 +325,7 @@ class _Walker:
             values: dict[int, dict[str, str | None]] = {int(o): {} for o in owners}
             if need:
                 colon, owner = index.colons(owners)
-                size = index.pos[colon - 1] - index.pos[colon - 2] - 1
-                sizes = {len(n) for n in need}
-                # a key may hold a few underscores more than its folded name
-                near = np.isin(size, [s + extra for s in sizes for extra in range(4)])
+                near = index.may_fold_to(colon, need)
                 for c, o in zip(colon[near].tolist(), owner[near].tolist()):
                     key = fold_key(index.span(index.pos[c - 2] + 1, index.pos[c - 1]))
                     if key in need:

@@ -103,3 +103,9 @@ def test_long_record_is_indexed_whole():
     sentences = [{"sentenceIndex": i, "token": [{"word": "w" * 50}] * 20} for i in range(3000)]
     rows = walk([json.dumps({"sentence": sentences})], frozenset(("sentence",)), False)
     assert [r[2] for r in rows] == list(range(3000))
+
+
+def test_fields_of_snake_case_entity_mentions():
+    mention = {"token_start_in_sentence_inclusive": 3, "token-end-in-sentence-exclusive": 5, "NER": "PER", "__entity__mention__text__": "Anna Kit", "entityType": "X", "token_start": 9}
+    rows = walk([json.dumps({"mentions": [mention]})], frozenset(("entity_mention",)))
+    assert [r[6] for r in rows] == [{"tokenstartinsentenceinclusive": "3", "tokenendinsentenceexclusive": "5", "ner": "PER", "entitymentiontext": "Anna Kit", "entitytype": "X"}]
