@@ -12,37 +12,45 @@ from pyspark.sql import functions as F
 from tessellex.session import broadcast_checked
 
 
+#: Scripts that are written without spaces; each of their letters and digits is a word.
+_UNSPACED = r"฀-໿က-႟ក-៿々-〇぀-ヿㇰ-ㇿ㐀-䶿一-鿿ꧠ-꧿ꩠ-ꩿ豈-﫿ｦ-ﾟ\x{1aff0}-\x{1b16f}\x{20000}-\x{3ffff}"
+_WORD = rf"[\p{{L}}\p{{N}}&&[^{_UNSPACED}]][\p{{L}}\p{{N}}\p{{M}}&&[^{_UNSPACED}]]*+|[\p{{L}}\p{{N}}&&[{_UNSPACED}]]\p{{M}}*+"
+
+
+def gazetteer_words(text: str | Column) -> Column:
+    """Words of phrases and of texts alike: runs of letters and digits in lower
+    case, single signs in scripts without spaces; other marks only part words."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+
+
 def phrase_table(rows: DataFrame, phrase: str = "phrase", label: str = "label") -> DataFrame:
-    """Cleaned gazetteer: ``key, n_words, label, conflict``; case and padding
-    don't matter, empty phrases and null labels are dropped, the least label
-    wins a conflict."""
-    key = F.lower(F.trim(F.regexp_replace(phrase, r"\s+", " ")))
-    clean = rows.where(F.col(label).isNotNull()).select(key.alias("key"), F.col(label).alias("label")).where("key is not null and key <> ''").distinct()
-    return clean.groupBy("key").agg(F.min("label").alias("label"), (F.count("*") > 1).alias("conflict")).withColumn("n_words", F.size(F.split("key", " ")))
+    """Cleaned gazetteer: ``key, n_words, label, conflict``; case, padding and
+    marks between words don't matter, phrases without a letter or digit and
+    null labels are dropped, the least label wins a conflict."""
+    clean = rows.where(F.col(label).isNotNull()).select(gazetteer_words(phrase).alias("w"), F.col(label).alias("label")).where("size(w) > 0")
+    clean = clean.select(F.array_join("w", " ").alias("key"), F.size("w").alias("n_words"), "label").distinct()
+    return clean.groupBy("key").agg(F.min("label").alias("label"), (F.count("*") > 1).alias("conflict"), F.first("n_words").alias("n_words"))
 
 
-def gazetteer_matches(docs: DataFrame, phrases: DataFrame, longest: int = 8, id_column: str = "doc_id", text_column: str = "text", max_rows: int = 200_000) -> DataFrame:
+def gazetteer_matches(docs: DataFrame, phrases: DataFrame, longest: int | None = None, id_column: str = "doc_id", text_column: str = "text", max_rows: int = 200_000) -> DataFrame:
     """Phrases found in texts as word n-grams: ``doc_id, begin_token, end_token, label``.
 
-    One hash join of n-grams with the table; a match inside a longer one that
-    begins at the same word is dropped.
+    Tokens are numbered as ``gazetteer_words`` gives them, in phrases and texts
+    alike. One hash join of n-grams with the table, for each length that the
+    table has (``longest`` leaves out longer ones); a match inside a longer one
+    that begins at the same word is dropped.
     """
-    words = F.regexp_extract_all(F.lower(F.col(text_column)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = docs.select(F.col(id_column).alias("doc_id"), words.alias("w"))
-    lengths = phrases.select("n_words").distinct().where(F.col("n_words") <= longest)
-    sizes = sorted(r[0] for r in lengths.limit(longest).collect())
-
-    def grams_of(n: int) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.size("w") - n + 1)
-        joined = F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
-        return rows.where(F.size("w") >= n).select("doc_id", F.posexplode(joined).alias("begin_token", "key"), F.lit(n).alias("n"))
-
-    grams = [grams_of(n) for n in sizes]
-    if not grams:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, begin_token int, end_token int, label string")
-    all_grams = grams[0]
-    for g in grams[1:]:
-        all_grams = all_grams.unionByName(g)
+    rows = docs.select(F.col(id_column).alias("doc_id"), gazetteer_words(text_column).alias("w"))
+    heads = F.collect_set(F.substring_index("key", " ", 1))
+    lengths = phrases.groupBy(F.col("n_words").alias("n")).agg(F.when(F.size(heads) <= 1000, heads).alias("heads"))
+    if longest is not None:
+        lengths = lengths.where(F.col("n") <= longest)
+    # few heads: only n-grams that begin with one of them are made
+    sized = rows.crossJoin(F.broadcast(lengths)).where(F.size("w") >= F.col("n"))
+    sized = sized.select("doc_id", "w", "n", F.array_intersect("w", "heads").alias("near")).where("near is null or size(near) > 0")
+    starts = F.filter(F.sequence(F.lit(0), F.size("w") - F.col("n")), lambda i: F.col("near").isNull() | F.array_contains("near", F.get("w", i)))
+    joined = F.transform(starts, lambda i: F.struct(i.alias("begin_token"), F.array_join(F.slice("w", i + 1, F.col("n")), " ").alias("key")))
+    all_grams = sized.select("doc_id", "n", F.inline(joined))
     found = all_grams.join(broadcast_checked(phrases.select("key", "label"), max_rows), "key")
     best = F.row_number().over(Window.partitionBy("doc_id", "begin_token").orderBy(F.desc("n")))
     return found.withColumn("r", best).where("r = 1").select("doc_id", "begin_token", (F.col("begin_token") + F.col("n")).alias("end_token"), "label")

@@ -73,6 +73,19 @@ def test_gazetteer_and_mentions(spark):
     assert {tuple(r) for r in truecase_table(tokens).where("key = 'anna'").collect()} == {("anna", "Anna")}
 
 
+def test_gazetteer_reaches_marks_unspaced_scripts_and_long_phrases(spark):
+    long = "the board of the old harbour of the town of velmark"
+    raw = spark.createDataFrame([("Kelvar Bros. Inc.", "ORG"), ("萨戈·米萨米", "PER"), ("スター", "X"), ("हिन्दी", "LANG"), (long, "ORG"), ("...", "Y")], "phrase string, label string")
+    phrases = phrase_table(raw)
+    assert {(r.key, r.n_words) for r in phrases.collect()} == {("kelvar bros inc", 3), ("萨 戈 米 萨 米", 5), ("ス タ ー", 3), ("हिन्दी", 1), (long, 11)}
+    docs = spark.createDataFrame([(1, "He left Kelvar Bros. Inc. then."), (2, "我见萨戈·米萨米了。"), (3, f"By {long.title()}!"), (4, "スターabc"), (5, "हिन्दी, हन्दी")], "doc_id bigint, text string")
+    got = {tuple(r) for r in gazetteer_matches(docs, phrases).collect()}
+    assert got == {(1, 2, 5, "ORG"), (2, 2, 7, "PER"), (3, 1, 12, "ORG"), (4, 0, 3, "X"), (5, 0, 1, "LANG")}
+    assert {r.doc_id for r in gazetteer_matches(docs, phrases, longest=8).collect()} == {1, 2, 4, 5}
+    many = phrase_table(raw.unionByName(spark.range(1500).selectExpr("concat('w', id) AS phrase", "'N' AS label")))
+    assert {tuple(r) for r in gazetteer_matches(docs, many).collect()} == got
+
+
 def test_plan():
     assert plan(["entitymentions"]) == ["tokenize", "pos", "lemma", "docdate", "time", "ner", "entitymentions"]
     with pytest.raises(ValueError):
