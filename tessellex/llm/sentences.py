@@ -117,8 +117,13 @@ def text_language(text: str, tokens: list[str], votes: dict[str, str]) -> tuple[
         tally.update(filter(None, map(votes.get, tokens)))
     if not tally:
         return "xx", True
-    (lang, n), *rest = tally.most_common(2)
-    return lang, not rest or rest[0][1] * 50 <= n
+    return tally.most_common(1)[0][0], len(tally) == 1
+
+
+def block_language(block: str, tokens: list[str], votes: dict[str, str], main: str) -> str:
+    """Language of a block; that of its text where nothing in it votes and the text is Latin."""
+    lang = text_language(block, tokens, votes)[0]
+    return main if lang == "xx" and main not in _OWN_SCRIPT else lang
 
 
 def _follows(text: str, at: int) -> str:
@@ -276,7 +281,7 @@ class Splitter:
         main, alone = text_language(text, text.split(), self.model.votes)
         for a, b in _blocks(text):
             block = text[a:b]
-            lang = main if alone else text_language(block, block.split(), self.model.votes)[0]
+            lang = main if alone else block_language(block, block.split(), self.model.votes, main)
             lowered = _UPPER.search(block) is None
             for c, d in _segments(block):
                 out.extend((a + c + x, a + c + y) for x, y in self._cut(block[c:d], lang, lowered))
@@ -473,7 +478,7 @@ def count_types(texts: list[str], votes: dict[str, str]) -> dict[tuple[str, str,
         for a, b in _blocks(text):
             block = text[a:b]
             tokens = block.split()
-            lang = main if alone else text_language(block, tokens, votes)[0]
+            lang = main if alone else block_language(block, tokens, votes, main)
             latin = lang not in _OWN_SCRIPT
             if lang in ("zh", "ja") or "." not in block or _UPPER.search(block) is None and (latin or lang == "ru"):
                 continue

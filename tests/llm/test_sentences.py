@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessellex.llm.sentences import PeriodModel, Splitter, fit_periods, sentence_units
+from tessellex.llm.sentences import PeriodModel, Splitter, count_types, fit_periods, sentence_units
 
 TEXTS = {
     "en": ["Dr. Lamo Kit met Mr. Vone Tiki at 5 p.m. in town. They sold nails, etc. before noon. The cat in town sat by the stove.\n\nDr. Kit left."] * 30,
@@ -83,3 +83,13 @@ def test_defined_results(spark, splitter):
 def test_given_cases(splitter):
     """No text: no unit; one sign: one unit."""
     assert splitter.spans(None) == [] and splitter.spans("") == [] and splitter.spans("x") == [(0, 1)]
+
+
+def test_short_stretch_in_another_language_is_cut_by_its_own_rules():
+    votes = {"und": "de", "et": "fr", "the": "en"}
+    model = PeriodModel(votes=votes, abbreviations={("de", "nr"): (False, False)}, ordinary={("fr", "nr")}, anywhere={"nr": (False, False)})
+    german, french = "Er kam und sah und ging zu Nr. Sieben und blieb.", "Elle et lui ont vu le nr. Puis il dort."
+    text = "\n\n".join([german] * 100 + ["Sie kam zu Nr. Acht.", french])
+    assert [text[a:b] for a, b in Splitter(model).spans(text)] == [german] * 100 + ["Sie kam zu Nr. Acht.", "Elle et lui ont vu le nr.", "Puis il dort."]
+    counts = count_types(["这是一本书。" * 100 + "\n\nHe met the man Dr. Kit."], votes)
+    assert counts[("en", "word", "dr")][0] == 1
