@@ -465,12 +465,15 @@ STATS_SCHEMA = "lang string, kind string, type string, " + ", ".join(f"{f} bigin
 
 
 def count_types(texts: list[str], votes: dict[str, str]) -> dict[tuple[str, str, str], list[int]]:
-    """Counts of types around periods over whole texts, by language."""
+    """Counts of types around periods over whole texts, by language.
+
+    Words without a period and line starters count in every block, what follows
+    a period only where case can tell. Chinese and Japanese aren't counted:
+    their sentences don't end in periods, nor their words in spaces.
+    """
     counts: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0] * len(_FIELDS))
     surface: dict[str, Counter] = defaultdict(Counter)
     for text in texts:
-        if "." not in text:
-            continue
         whole = text.split()
         main, alone = text_language(text, whole, votes)
         if alone and main in ("zh", "ja"):
@@ -480,7 +483,7 @@ def count_types(texts: list[str], votes: dict[str, str]) -> dict[tuple[str, str,
             tokens = block.split()
             lang = main if alone else block_language(block, tokens, votes, main)
             latin = lang not in _OWN_SCRIPT
-            if lang in ("zh", "ja") or "." not in block or _UPPER.search(block) is None and (latin or lang == "ru"):
+            if lang in ("zh", "ja"):
                 continue
             surface[lang].update(tokens)
             for line in block.split("\n"):
@@ -488,6 +491,8 @@ def count_types(texts: list[str], votes: dict[str, str]) -> dict[tuple[str, str,
                 word = _LETTERS.match(line, first)
                 if word:
                     counts[(lang, "word", _type(word[0], latin))][7] += 1
+            if "." not in block or _UPPER.search(block) is None and (latin or lang == "ru"):
+                continue
             tokens.append("")
             for i, token in [(i, t) for i, t in enumerate(tokens) if "." in t]:
                 plain = token.rstrip(_CLOSERS)

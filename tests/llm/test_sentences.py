@@ -93,3 +93,12 @@ def test_short_stretch_in_another_language_is_cut_by_its_own_rules():
     assert [text[a:b] for a, b in Splitter(model).spans(text)] == [german] * 100 + ["Sie kam zu Nr. Acht.", "Elle et lui ont vu le nr.", "Puis il dort."]
     counts = count_types(["这是一本书。" * 100 + "\n\nHe met the man Dr. Kit."], votes)
     assert counts[("en", "word", "dr")][0] == 1
+
+
+def test_words_and_starters_count_without_a_period_too():
+    votes = {"the": "en", "The": "en"}
+    counts = count_types(["The cat sat", "The cat.\n\nthe cat sat\n\nThe dog!", "the cat. the dog."], votes)
+    assert counts[("en", "word", "cat")] == [1, 2, 0, 0, 0, 1, 0, 0]
+    assert counts[("en", "word", "the")][1] == 6 and counts[("en", "word", "the")][7] == 5
+    assert counts[("en", "word", "dog")][:2] == [0, 1]
+    assert counts[("en", "all", "")][1] == 14
