@@ -89,11 +89,12 @@ _AFTER = re.compile(rf"^[,\s]*(?:(?:{_SAID})\s+(?P<a>[A-Z]\w+(?:\s[A-Z]\w+)*|he|
 _BEFORE = re.compile(rf"(?P<b>[A-Z]\w+(?:\s[A-Z]\w+)*|[Hh]e|[Ss]he|[Tt]hey)\s+(?:{_SAID})[,:]?\s*$")
 
 
-def find_quotes(text: str, longest: int = 10_000) -> list[tuple[int, int, int | None, int, str | None]]:
+def find_quotes(text: str, longest: int | None = None) -> list[tuple[int, int, int | None, int, str | None]]:
     """(begin, end, parent number, depth, speaker) of matched quotations, outer first.
 
     Directed marks nest; straight ones pair in turn within a paragraph; a
-    single mark between letters is an apostrophe.
+    single mark between letters is an apostrophe. Quotations of more than
+    ``longest`` characters are left out; by default there is no limit.
     """
     found, stack = [], []
     for m in re.finditer("[\"“”„«»‘’「」『』‹›]|\n\\s*\n", text):
@@ -108,7 +109,7 @@ def find_quotes(text: str, longest: int = 10_000) -> list[tuple[int, int, int |
         if closes is not None:
             begin = stack[closes][1]
             del stack[closes:]
-            if at + 1 - begin <= longest:
+            if longest is None or at + 1 - begin <= longest:
                 found.append((begin, at + 1))
         elif mark in _PAIRS:
             stack.append((_PAIRS[mark], at))
@@ -127,15 +128,16 @@ def find_quotes(text: str, longest: int = 10_000) -> list[tuple[int, int, int |
     return out
 
 
-def annotate_quotes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Quotations with their nesting and the speaker a reporting clause names."""
+def annotate_quotes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", longest: int | None = None) -> DataFrame:
+    """Quotations with their nesting and the speaker a reporting clause names;
+    none longer than ``longest`` characters, if that is given."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 key = None if pd.isna(doc_id) else int(doc_id)
-                rows.extend((key, n, parent, depth, a, b, text[a:b], who) for n, (a, b, parent, depth, who) in enumerate(find_quotes(text or "")))
+                rows.extend((key, n, parent, depth, a, b, text[a:b], who) for n, (a, b, parent, depth, who) in enumerate(find_quotes(text or "", longest)))
             yield pd.DataFrame(rows, columns=["doc_id", "quote_id", "parent_id", "depth", "begin_char", "end_char", "text", "speaker"], dtype=object)
 
     return docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).mapInPandas(run, QUOTE_SCHEMA)

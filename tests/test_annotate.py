@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from tessellex.operators.entities import entity_links, entity_mentions, find_quotes, gazetteer_matches, name_chains, phrase_table, truecase_table
+from tessellex.operators.entities import annotate_quotes, entity_links, entity_mentions, find_quotes, gazetteer_matches, name_chains, phrase_table, truecase_table
 from tessellex.operators.normalize import annotate_times, find_times, normalize_money, parse_number
 from tessellex.plans.pipeline import Pipeline, plan
 
@@ -57,6 +57,16 @@ def test_quotes():
     assert find_quotes("") == [] and find_quotes("“open") == []
 
 
+def test_long_quotes_are_kept(spark):
+    inner = "‘go’"
+    text = f"“{'word ' * 4000}{inner} on,” said Bo."
+    found = [(text[a:b], parent, depth) for a, b, parent, depth, _ in find_quotes(text)]
+    assert found == [(text[: text.index("”") + 1], None, 0), (inner, 0, 1)]
+    assert [text[a:b] for a, b, *_ in find_quotes(text, 10_000)] == [inner]
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert [(r.depth, r.speaker) for r in annotate_quotes(docs).collect()][0] == (0, "Bo") and annotate_quotes(docs, longest=100).count() == 1
+
+
 def test_gazetteer_and_mentions(spark):
     raw = spark.createDataFrame([(" New  York ", "CITY"), ("new york", "CITY"), ("york", "TOWN"), ("", "X"), ("a", None), (None, "Y")], "phrase string, label string")
     phrases = phrase_table(raw)
