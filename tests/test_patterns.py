@@ -99,3 +99,23 @@ def test_tree_patterns(spark):
     assert rows("@NP $+ VP") == ["1", "2"] and rows("NP $+ VP") == ["1"]
     assert rows("/^NP/ !< DT") == ["2", "2"] and rows("VP <<, VBD !<< NP") == ["1"]
     assert rows("S <1 /NP/=n <2 VP") == ["1", "2"] and rows("NN|PRP >: __") == ["2", "2"]
+
+
+def test_deep_chains_keep_all_pairs_and_cycles_end(spark):
+    chain = [("deep", i, i + 1, "x") for i in range(63)] + [("loop", 1, 2, "x"), ("loop", 2, 3, "y"), ("loop", 3, 2, "z")]
+    ends = sorted({(g, n) for g, a, b, _ in chain for n in (a, b)})
+    patterns = GraphPatterns(spark.createDataFrame(ends, "graph string, idx int").coalesce(1), spark.createDataFrame(chain, "graph string, gov int, dep int, reln string").coalesce(1))
+    pairs = {(r.graph, r.a, r.b) for r in patterns.closure().select("graph", "a", "b").distinct().collect()}
+    assert pairs == {("deep", i, j) for i in range(64) for j in range(i + 1, 64)} | {("loop", 1, 2), ("loop", 1, 3), ("loop", 2, 3), ("loop", 3, 2)}
+
+
+def test_graph_rounds_run_to_the_end_or_raise(spark):
+    from tessellex.operators.graphs import components, descendants
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(102)], "src int, dst int").coalesce(1)
+    starts = spark.createDataFrame([(0,)], "node int")
+    assert descendants(edges, starts).count() == 102
+    with pytest.raises(ValueError):
+        descendants(edges, starts, 3)
+    with pytest.raises(ValueError):
+        components(edges, 1)
