@@ -138,7 +138,7 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, folder: str):
-    docs = table(spark, folder, "documents", "doc_id", "text", "n_chars")
+    docs = table(spark, folder, "documents", "doc_id", "text", "n_chars", "source")
     model = fit_levels(docs, table(spark, folder, "labels", "doc_id", "level"), table(spark, folder, "lang_samples", "lang", "text"))
     return docs, model
 
@@ -154,5 +154,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Documents per source and level, for profiles of the corpus."""
     docs, model = _levels(spark, folder)
-    sources = table(spark, folder, "documents", "doc_id", "source")
-    return reading_levels(docs, model).join(sources, "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"), F.avg("score").alias("score"))
+    return reading_levels(docs, model, "source").groupBy("source", "level").agg(F.count("*").alias("documents"), F.avg("score").alias("score"))
