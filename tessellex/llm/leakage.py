@@ -2,37 +2,38 @@
 
 Texts are reduced to canonical tokens; numbers, names and units become typed
 placeholders. Windows of the resulting templates are hashed and joined with
-the windows of the items' sentences, and the values in the slots are checked:
-equal values mean the sentence itself leaked, a consistent renaming means that
-it came back with other parameters. An alignment of the whole sentence then
-decides exactly.
+the windows of the items' sentences. Of a sentence only its rarest windows are
+indexed, as many as the words that may differ can't all break, so that the
+join loses nothing. The values in the slots of what was joined are checked:
+the sentence's own values mean that it leaked, a consistent renaming that it
+came back with other parameters; an alignment of the whole sentence decides.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellex.llm.canonical import _FOREIGN, _TO_LATIN, normalize_segments
-
-# Units of measure and of counting that items are asked in.
-UNITS = frozenset("km m cm mm kg g t l percent days day hours hour weeks years coins crowns copies tagen tage stunden jours jour heures días horas giorni ore kronen couronnes coronas".split())
+from tessellex.session import broadcast_checked, collect_bounded, cut_lineage
 
 _JOIN = re.compile(r"(?<=\w)['’ʼ‐-―-](?=\w)")
-_WORDS = re.compile(r"[^\W_]+")
-_WORDS_CJK = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
-_SENTENCE = re.compile(r"(?<=[.!?])[\"”»’]?\s+|(?<=[。！？])")
-_CAPITAL = r"(?<=\s)[A-Z\u00c0-\u00de\u0391-\u03a9\u0400-\u042f]\w*"
-_NUMBER, _NAME, _UNIT = 1, 2, 3
+_WORDS = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
+_SENTENCE = re.compile(r"(?<=[.!?؟।])[\"”»’]?\s+|(?<=[。！？])")
+_QUESTION = re.compile(r"[?？؟]\W*\Z")
+_CAPITAL = r"(?<=\s)[A-ZÀ-ÞΑ-ΩЀ-Я]\w*"
+#: Kinds of a token, in the low bits of its code; numbers, names and units are slots.
+_WORD, _NUMBER, _NAME, _UNIT = 0, 1, 2, 3
 WINDOW = 3
+#: Share of a sentence's words that may be changed, added or dropped; most changes in a renamed template.
+MOST_EDITS, MOST_RENAMED = 0.18, 2
+_LARGEST_FILTER = 1 << 26
 
 
 def plain_form(text: str) -> str:
@@ -44,91 +45,50 @@ def plain_form(text: str) -> str:
     return _JOIN.sub("", text)
 
 
-@dataclass
-class LeakIndex:
-    """Templates of the items' sentences, for one block of items."""
-
-    ids: dict[str, int] = field(default_factory=dict)
-    kind: list[int] = field(default_factory=lambda: [0, _NUMBER, _NAME, _UNIT])
-    sentences: list[tuple[int, np.ndarray]] = field(default_factory=list)
-    windows: dict[int, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
-    anchors: frozenset[str] = frozenset()
-    cjk: bool = False
-
-    def words(self, text: str) -> list[str]:
-        return (_WORDS_CJK if self.cjk else _WORDS).findall(text)
+class Codes(dict):
+    """Word -> code: a hash of the word without case, and its kind in the two low bits."""
 
+    def __init__(self, units: frozenset[str] = frozenset()):
+        super().__init__()
+        self.units = units
 
-def _boilerplate(item_lines: list[list[str]]) -> set[str]:
-    """Lines (as templates) that many items share: instructions and questions."""
-    seen: Counter = Counter()
-    for lines in item_lines:
-        seen.update({_line_template(x) for x in lines})
-    return {k for k, n in seen.items() if n >= 3}
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:  # a cache: emptied, not a bound on what is read
+            self.clear()
+        plain = word.casefold()
+        data = plain.encode()
+        kind = _NUMBER if plain.isdigit() else _UNIT if plain in self.units else _NAME if word[0].isupper() else _WORD
+        code = self[word] = (zlib.crc32(data) << 30 ^ zlib.adler32(data) << 2) & ~3 | kind
+        return code
 
+    def of(self, text: str) -> np.ndarray:
+        words = _WORDS.findall(plain_form(text))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-def _line_template(line: str) -> str:
-    return re.sub(r"\d+", "#", re.sub(_CAPITAL, "@", line)).lower().strip()
 
+def _windows(codes: np.ndarray, names: bool) -> np.ndarray:
+    """Hashes of the windows of a template; 0 where all of a window is slots.
 
-def build_index(items: list[tuple[int, str]], shared_lines: set[str], least_words: int = 8) -> LeakIndex:
-    """Sentences of the passages, as token ids, and their template windows.
-
-    Lines that many items share, and sentences of fewer than ``least_words``
-    tokens, aren't passages.
+    Numbers and units are slots always, names (capitalised words) if asked for.
     """
-    index = LeakIndex()
-    passages = []
-    for item, text in items:
-        for line in text.split("\n"):
-            if line.strip() and _line_template(line) not in shared_lines:
-                passages.append((item, plain_form(line)))
-    index.cjk = any(re.search(r"[぀-ヿ㐀-鿿]", p) for _, p in passages)
-    capital, lower = Counter(), Counter()
-    cut = []
-    for item, passage in passages:
-        for sentence in _SENTENCE.split(passage):
-            words = index.words(sentence)
-            if len(words) >= least_words:
-                cut.append((item, words))
-            for i, w in enumerate(words):
-                if i and w[:1].isupper():
-                    capital[w.casefold()] += 1
-                elif w.islower():
-                    lower[w] += 1
-    names = {w for w, n in capital.items() if n > 2 * lower[w]}
-    for item, words in cut:
-        row = []
-        for w in (w.casefold() for w in words):
-            if w not in index.ids:
-                index.ids[w] = len(index.kind)
-                index.kind.append(_NUMBER if w.isdigit() else _NAME if w in names else _UNIT if w in UNITS else 0)
-            row.append(index.ids[w])
-        index.sentences.append((item, np.array(row, np.int32)))
-    kinds = np.array(index.kind)
-    for s, (_, row) in enumerate(index.sentences):
-        for p, h in enumerate(_hashes(_template(row, kinds)).tolist()):
-            index.windows[h].append((s, p))
-    index.windows = dict(index.windows)
-    index.anchors = frozenset(w for w, i in index.ids.items() if kinds[i] == 0 and (len(w) >= 5 or ord(w[0]) > 0x3000))
-    return index
-
-
-def _template(ids: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    kind = kinds[ids]
-    return np.where(kind > 0, kind, ids)
-
-
-def _hashes(template: np.ndarray) -> np.ndarray:
-    """Rolling hash of windows of template tokens."""
-    t = template.astype(np.int64)
-    n = len(t) - WINDOW + 1
+    n = len(codes) - WINDOW + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    h = np.zeros(n, np.int64)
-    for j in range(WINDOW):
-        h = h * 1_000_003 + t[j : j + n]
-    return h
+    kind = codes & 3
+    slot = (kind == _NUMBER) | (kind == _UNIT) | ((kind == _NAME) if names else False)
+    token = np.where(slot, kind, codes | 3)
+    out, full = np.full(n, 17 if names else 11, np.int64), np.ones(n, bool)
+    with np.errstate(over="ignore"):
+        for j in range(WINDOW):
+            out = out * 1_000_003 + token[j : j + n]
+            full &= slot[j : j + n]
+        out ^= out >> 29
+    out[full] = 0
+    return out
+
+
+def _room(n: int) -> int:
+    return int(MOST_EDITS * n)
 
 
 def _edits(a: np.ndarray, b: np.ndarray) -> int:
@@ -143,149 +103,181 @@ def _edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(prev.min())
 
 
-class LeakFinder:
-    """Leaked sentences in texts; edits allowed are single words."""
-
-    def __init__(self, index: LeakIndex, most_edits: float = 0.18, least_cover: float = 0.4):
-        self.index, self.most, self.cover = index, most_edits, least_cover
-        self.kinds = np.array(index.kind)
-        self.known = np.array(sorted(index.windows), np.int64)
-        self.get = index.ids.get
-        # a sentence keeps its anchors but for the words that may differ
-        anchors = {index.ids[w]: w for w in index.anchors}
-        holds: dict[str, list[int]] = defaultdict(list)
-        self.needed = np.ones(len(index.sentences), np.int64)
-        for s, (_, row) in enumerate(index.sentences):
-            own = {anchors[i] for i in row.tolist() if i in anchors}
-            self.needed[s] = max(1, len(own) - int(most_edits * len(row)))
-            for w in own:
-                holds[w].append(s)
-        self.need = int(self.needed.min(initial=1))
-        self.holds = {w: np.array(v) for w, v in holds.items()}
-        self.hashes = [_hashes(_template(row, self.kinds)).tolist() for _, row in index.sentences]
-        self.sets = [({*row.tolist()}, {i for i in row.tolist() if self.kinds[i] == 0}) for _, row in index.sentences]
-
-    def find(self, text: str | None) -> list[tuple[int, int, str, int]]:
-        """(item, sentence, how, edits): how is ``same`` or ``renamed``."""
-        if not text or not self.index.sentences:
-            return []
-        words = self.index.words(plain_form(text))
-        folded = [w.casefold() for w in words]
-        anchors = self.index.anchors.intersection(folded)
-        if len(anchors) < self.need:
-            return []
-        counts = np.bincount(np.concatenate([self.holds[w] for w in anchors]), minlength=len(self.needed))
-        candidates = np.flatnonzero(counts >= self.needed)
-        if not candidates.size:
-            return []
-        ids = np.fromiter(map(self.get, folded, repeat(0)), np.int32, len(folded))
-        unknown = np.flatnonzero(ids == 0)
-        template = _template(ids, self.kinds)
-        for i in unknown.tolist():
-            w = words[i]
-            if w.isdigit():
-                template[i] = _NUMBER
-            elif w[0].isupper():
-                template[i] = _NAME
-        hashes = _hashes(template)
-        slot = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        at: dict[int, list[int]] = defaultdict(list)
-        for p in np.flatnonzero(self.known[slot] == hashes).tolist():
-            at[int(hashes[p])].append(p)
-        votes: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for s in candidates.tolist():
-            for q, h in enumerate(self.hashes[s]):
-                for p in at.get(h, ()):
-                    votes[s][(p - q) // 8].append(p)
-        out = []
-        for s, places in votes.items():
-            item, row = self.index.sentences[s]
-            best = None
-            for place, found in places.items():
-                near = found + places.get(place + 1, [])
-                if len({x + j for x in near for j in range(WINDOW)}) < self.cover * len(row):
-                    continue
-                result = self._check(s, ids, template, near)
-                if result and (best is None or (result[0] != "same", result[1]) < (best[0] != "same", best[1])):
-                    best = result
-            if best:
-                out.append((item, s, best[0], best[1]))
-        return out
-
-    def _check(self, s: int, ids: np.ndarray, template: np.ndarray, near: list[int]) -> tuple[str, int] | None:
-        item, row = self.index.sentences[s]
-        n, room = len(row), int(self.most * len(row))
-        lo, hi = max(0, min(near) - 2 * room - 4), min(len(ids), max(near) + WINDOW + n)
-        area = ids[lo:hi]
-        there = set(area.tolist())
-        every, content = self.sets[s]
-        if len(every - there) <= room:  # the values in the slots are the sentence's own
-            at = np.flatnonzero(area == row[0])
-            if any(len(area) >= a + n and (area[a : a + n] == row).all() for a in at.tolist()):
-                return "same", 0
-            edits = _edits(row, area)
-            if edits <= room:
-                return "same", edits
-        if len(content - there) <= 2:
-            edits = _edits(_template(row, self.kinds), template[lo:hi])
-            if edits <= min(room, 2):
-                return "renamed", edits
+def compare(sentence: np.ndarray, area: np.ndarray) -> tuple[str, int] | None:
+    """``same`` or ``renamed`` and the edits, for a sentence and a stretch of a document (codes)."""
+    own, there = sentence >> 2, area >> 2
+    room, near = _room(len(own)), set(there.tolist())
+    # slots first: a sentence that leaked keeps its own values but for the words that may differ
+    if len(set(own.tolist()) - near) <= room:
+        edits = _edits(own, there)
+        if edits <= room:
+            return "same", edits
+    kind = sentence & 3
+    slots = kind > 0
+    if slots.all() or len(set(own[~slots].tolist()) - near) > MOST_RENAMED or len(own) > len(there):
         return None
+    template = np.where(slots, -kind, own)
+    places = np.lib.stride_tricks.sliding_window_view(area, len(own))
+    filled = np.where(places & 3 > 0, -(places & 3), places >> 2)
+    off = (filled != template).sum(1)
+    for at in np.flatnonzero(off <= min(room, MOST_RENAMED)).tolist():
+        names: dict[int, int] = {}
+        values = there[at : at + len(own)]
+        same_slot = slots & (filled[at] == template)
+        # one value always becomes the same other value
+        if all(names.setdefault(a, b) == b for a, b in zip(own[same_slot].tolist(), values[same_slot].tolist())):
+            return "renamed", int(off[at])
+    return None
+
+
+def item_sentences(items: DataFrame, least_words: int, item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``item_id, sentence, words, key``: sentences of the items' passages, with codes of their words.
+
+    Not of the passage are a last line that asks and lines (up to names and
+    numbers) that stand beside at least three different passages. The longest
+    line of an item is always passage, so items that share it don't lose it.
+    Sentences of fewer than ``least_words`` words are short phrases and left out.
+    """
+    source = items.select(F.col(item_column).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
+    lines = F.filter(F.split("text", r"\R"), lambda x: F.trim(x) != "")
+    source = source.select("item_id", "text", lines.alias("lines")).where(F.size("lines") > 0)
+    longest = F.expr("array_max(transform(lines, x -> named_struct('n', length(x), 'line', x)))")["line"]
+    rows = source.select("item_id", "text", F.size("lines").alias("last"), longest.alias("longest"), F.posexplode("lines").alias("no", "line"))
+    template = F.trim(F.lower(F.regexp_replace(F.regexp_replace("line", "(?U)" + _CAPITAL, "@"), r"\d+", "#")))
+    rows = rows.withColumn("template", template)
+    beside = rows.where("line <> longest").select("template", F.xxhash64("longest").alias("passage")).distinct()
+    shared = beside.groupBy("template").count().where("count >= 3").select("template", F.lit(True).alias("shared"))
+    rows = rows.join(shared, "template", "left").where("line = longest or shared is null")
+    asks = (F.col("no") > 0) & (F.col("no") == F.col("last") - 1) & F.col("line").rlike(_QUESTION.pattern.replace(r"\Z", r"\z"))
+    rows = rows.where(~asks).select("item_id", F.concat_ws("-", F.xxhash64("text"), "no").alias("place"), "line")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for item, place, line in zip(batch["item_id"], batch["place"], batch["line"]):
+                for k, sentence in enumerate(_SENTENCE.split(plain_form(line))):
+                    words = _WORDS.findall(sentence)
+                    if len(words) >= least_words:
+                        out.append((int(item), f"{place}-{k}", words))
+            yield pd.DataFrame(out, columns=["item_id", "sentence", "words"], dtype=object)
+
+    return rows.mapInPandas(run, "item_id bigint, sentence string, words array<string>").withColumn("key", F.xxhash64(F.concat_ws(" ", F.transform("words", F.lower))))
+
+
+def learn_units(sentences: DataFrame, most: int = 100_000) -> frozenset[str]:
+    """Words that follow a number, and different ones, in most of their uses."""
+    pairs = F.expr("transform(sequence(1, size(words)), i -> named_struct('word', lower(get(words, i - 1)), 'before', get(words, i - 2)))")
+    rows = sentences.select(F.explode(pairs).alias("p")).select("p.word", "p.before").where(~F.col("word").rlike(r"^\d+$"))
+    number = F.when(F.col("before").rlike(r"^\d+$"), F.col("before"))
+    by = rows.groupBy("word").agg(F.count("*").alias("n"), F.count(number).alias("after"), F.count_distinct(number).alias("values"))
+    return frozenset(r.word for r in collect_bounded(by.where("values >= 3 and after > 0.5 * n").select("word"), most, "units"))
+
+
+def sentence_index(distinct: DataFrame) -> DataFrame:
+    """``window, key, at``: the rarest template windows of every sentence.
+
+    ``e`` edits break at most ``WINDOW * e`` windows, so one more of them, in
+    each of the two forms (with and without names as slots), finds a sentence.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, codes in zip(batch["key"], batch["codes"]):
+                row = np.frombuffer(codes, np.int64)
+                for form in (False, True):
+                    most = WINDOW * (min(_room(len(row)), MOST_RENAMED) if form else _room(len(row))) + 1
+                    out.extend((int(h), int(key), at, form, most) for at, h in enumerate(_windows(row, form).tolist()) if h)
+            yield pd.DataFrame(out, columns=["window", "key", "at", "form", "most"], dtype=object)
 
+    windows = distinct.select("key", "codes").mapInPandas(run, "window bigint, key bigint, at int, form boolean, most int")
+    uses = windows.groupBy("window").agg(F.count("*").alias("uses"))
+    rank = F.row_number().over(Window.partitionBy("key", "form").orderBy("uses", "window", "at"))
+    return windows.join(uses, "window").withColumn("rank", rank).where("rank <= most").select("window", "key", "at")
 
-def item_blocks(items: DataFrame, id_column: str, text_column: str, block_rows: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, by ranges of their hash."""
-    n = items.count()
-    blocks = -(-n // block_rows)
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64(id_column), F.lit(blocks)) == k) if blocks > 1 else items
-        yield [(r[0], r[1]) for r in part.select(id_column, text_column).collect() if r[0] is not None and r[1]]
 
+def window_filter(index: DataFrame) -> np.ndarray:
+    """A bit for every place (hash by the filter's size) that an indexed window falls on; 8 MB at most."""
+    size = min(_LARGEST_FILTER, max(1 << 12, 1 << (2048 * index.count()).bit_length()))
 
-def leaked_sentences(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_rows: int = 20_000) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[batch["window"].to_numpy(np.int64) & (size - 1)] = True
+        yield pd.DataFrame({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+
+    parts = index.select("window").coalesce(2).mapInPandas(run, "bits binary")
+    out = np.zeros(size // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    return out
+
+
+def leaked_sentences(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", least_words: int = 5) -> DataFrame:
     """Sentences of items found in documents: ``doc_id, item_id, how, edits``.
 
     ``how`` is ``same`` (the sentence, up to single changed, added or dropped
     words) or ``renamed`` (its template with other names or numbers). The
-    items are the queries, taken in blocks of ``block_rows`` so that what is
-    sent to the tasks is bounded; every document is read whole. Null ids and
-    null or empty texts match nothing; repeated documents or items repeat
-    their rows; further columns are ignored.
+    corpus is read once, whole; a filter of 8 MB keeps the windows out that no
+    item has, the rest is joined by hash. Null ids and null or empty texts
+    match nothing; a document repeated under its id counts once, different
+    texts under one id each; repeated items count once; further columns are
+    ignored.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     schema = "doc_id bigint, item_id bigint, how string, edits bigint"
-    shared_lines = shared_item_lines(items, item_column, item_text)
-    found = None
-    for block in item_blocks(items, item_column, item_text, block_rows):
-        index = spark.sparkContext.broadcast(build_index(block, shared_lines))
-
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            finder = LeakFinder(index.value)
-            for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                    if not pd.isna(doc_id):
-                        rows.extend((int(doc_id), item, how, edits) for item, _, how, edits in finder.find(text))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "how", "edits"], dtype=object)
-
-        part = source.mapInPandas(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], schema)
-
-
-def shared_item_lines(items: DataFrame, item_column: str, item_text: str, most: int = 10_000) -> set[str]:
-    """Templates of lines that at least three items share (instructions, questions).
-
-    Counted over all items; at most ``most`` such templates may exist.
-    """
-    lines = items.where(F.col(item_text).isNotNull()).select(F.col(item_column).alias("item"), F.explode(F.split(item_text, "\n")).alias("line")).distinct()
-    template = F.trim(F.lower(F.regexp_replace(F.regexp_replace("line", "(?U)" + _CAPITAL, "@"), r"\d+", "#")))
-    shared = lines.select("item", template.alias("line")).distinct().groupBy("line").count().where("count >= 3 and line <> ''")
-    rows = shared.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many shared lines; the items' texts need a look")
-    return {r.line for r in rows}
+    sentences = cut_lineage(item_sentences(items, least_words, item_column, item_text))
+    units = learn_units(sentences)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = Codes(units)
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["key"], "codes": [np.array([table[w] for w in words], np.int64).tobytes() for words in batch["words"]]})
+
+    distinct = sentences.groupBy("key").agg(F.first("words").alias("words")).mapInPandas(encode, "key bigint, codes binary")
+    distinct = cut_lineage(distinct)
+    index = cut_lineage(sentence_index(distinct))
+    shared = spark.sparkContext.broadcast((window_filter(index), units))
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, known = shared.value
+        table = Codes(known)
+        for batch in batches:
+            out = []
+            for doc_id, text_key, text in zip(batch["doc_id"], batch["text_key"], batch["text"]):
+                codes = table.of(text)
+                found = []
+                for form in (False, True):
+                    windows = _windows(codes, form)
+                    place = windows & (8 * len(bits) - 1)
+                    for at in np.flatnonzero((bits[place >> 3] >> (7 - (place & 7))) & 1).tolist():
+                        found.append((int(windows[at]), at))
+                if found:
+                    out.append((int(doc_id), int(text_key), codes.tobytes(), [w for w, _ in found], [at for _, at in found]))
+            yield pd.DataFrame(out, columns=["doc_id", "text_key", "codes", "windows", "places"], dtype=object)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, key, own, text, lo, hi in batch.itertuples(index=False, name=None):
+                row, codes = np.frombuffer(own, np.int64), np.frombuffer(text, np.int64)
+                room = _room(len(row))
+                got = compare(row, codes[max(0, lo - room) : hi + len(row) + room])
+                if got:
+                    out.append((doc_id, key, *got))
+            yield pd.DataFrame(out, columns=["doc_id", "key", "how", "edits"], dtype=object)
+
+    source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null and text is not null")
+    touched = source.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(hits, "doc_id bigint, text_key bigint, codes binary, windows array<bigint>, places array<int>")
+    touched = cut_lineage(touched)
+    joined = touched.select("doc_id", "text_key", F.explode(F.arrays_zip("windows", "places")).alias("w")).select("doc_id", "text_key", F.col("w.windows").alias("window"), F.col("w.places").alias("place"))
+    joined = joined.join(broadcast_checked(index, 500_000), "window").withColumn("start", F.col("place") - F.col("at"))
+    pairs = joined.groupBy("doc_id", "text_key", "key").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+    texts = touched.select("doc_id", "text_key", F.col("codes").alias("text")).dropDuplicates(["doc_id", "text_key"])
+    pairs = pairs.join(texts, ["doc_id", "text_key"]).join(broadcast_checked(distinct, 50_000), "key")
+    decided = pairs.select("doc_id", "key", "codes", "text", "lo", "hi").mapInPandas(decide, "doc_id bigint, key bigint, how string, edits bigint")
+    members = sentences.select("item_id", "key").distinct()
+    return decided.join(members, "key").select(*(c.split()[0] for c in schema.split(", ")))
 
 
 def leaked_documents(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:

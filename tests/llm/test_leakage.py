@@ -2,7 +2,7 @@
 
 import random
 
-from tessellex.llm.leakage import LeakFinder, _boilerplate, build_index, leaked_documents, leaked_sentences, shared_item_lines
+from tessellex.llm.leakage import Codes, compare, item_sentences, leaked_documents, leaked_sentences, learn_units
 
 NOUNS = "anvil beacon urn walnut kiln ferry mortar sluice turbine ledger orchard pulley".split()
 VERBS = "carved oiled tilted mended greased hoisted".split()
@@ -52,42 +52,64 @@ def make():
     return items, docs
 
 
-def test_against_alignment_of_all_pairs():
-    items, docs = make()
-    index = build_index(items, _boilerplate([t.split("\n") for _, t in items]))
-    assert len(index.sentences) == 50
-    finder = LeakFinder(index)
-    words = {v: k for k, v in index.ids.items()}
-    for _, text in docs:
-        got = {(i, s) for i, s, how, _ in finder.find(text) if how == "same"}
-        from tessellex.llm.leakage import plain_form
-
-        tokens = [w.casefold() for w in index.words(plain_form(text))]
-        want = {(i, s) for s, (i, row) in enumerate(index.sentences) if edits([words[x] for x in row.tolist()], tokens) <= int(0.18 * len(row))}
-        assert got == want
+def tokens(text):
+    return [c >> 2 for c in Codes().of(text).tolist()]
 
 
-def test_renamed_sentences_are_told_apart():
+def test_against_alignment_of_all_pairs(spark):
+    items, docs = make()
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    sentences = item_sentences(bench, 5).collect()
+    assert len(sentences) == 50
+    got = {(r.doc_id, r.item_id) for r in leaked_sentences(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect() if r.how == "same"}
+    want = set()
+    for d, text in docs:
+        words = tokens(text)
+        for s in sentences:
+            if edits([Codes()[w] >> 2 for w in s.words], words) <= int(0.18 * len(s.words)):
+                want.add((d, s.item_id))
+    assert got == want and len(want) > 100
+
+
+def test_renamed_sentences_are_told_apart(spark):
     items, _ = make()
-    index = build_index(items, _boilerplate([t.split("\n") for _, t in items]))
     sentence = items[0][1].split("\n")[1].split(". ")[0]
-    names = [w for w in sentence.split() if w[0].isupper() and w != "Long"]
-    for n in set(names):
-        sentence = sentence.replace(n, "Xu" + n[::-1].strip(",.").capitalize())
-    sentence = "".join("7" if c.isdigit() else c for c in sentence)
-    found = LeakFinder(index).find("It was so. " + sentence + ". The end.")
-    assert {how for i, _, how, _ in found if i == items[0][0]} == {"renamed"}
+    names = {w.strip(",.") for w in sentence.split() if w[0].isupper() and w != "Long"}
+    other = sentence
+    for n in names:
+        other = other.replace(n, "Xu" + n[::-1].capitalize())
+    other = "".join("7" if c.isdigit() else c for c in other)
+    corpus = spark.createDataFrame([(1, "It was so. " + other + ". The end."), (2, "It was so. " + sentence + ". The end.")], "doc_id bigint, text string")
+    found = {(r.doc_id, r.how) for r in leaked_sentences(corpus, spark.createDataFrame(items[:1], "item_id bigint, text string")).collect()}
+    assert found == {(1, "renamed"), (2, "same")}
+    # the same name must become the same other name
+    code = Codes()
+    row, mixed = code.of("While Ana met Bo the old Ana saw a lamp"), code.of("While Eva met Jo the old Ida saw a lamp")
+    assert compare(row, mixed) is None and compare(row, code.of("While Eva met Jo the old Eva saw a lamp")) == ("renamed", 0)
+
+
+def test_passages_that_many_items_share(spark):
+    items, docs = make()
+    passage = items[0][1].split("\n")[1]
+    for n in (1, 3, 300):
+        bench = spark.createDataFrame([(k, f"Read it with care.\n{passage}\nWhat is number {k} called?") for k in range(n)], "item_id bigint, text string")
+        corpus = spark.createDataFrame([(7, "So it was. " + passage), (8, "Read it with care.")], "doc_id bigint, text string")
+        assert sorted(tuple(r) for r in leaked_documents(corpus, bench).collect()) == [(7, k) for k in range(n)]
+    short = spark.createDataFrame([(1, "The red fox ran home. It did.")], "item_id bigint, text string")
+    assert [tuple(r) for r in leaked_documents(spark.createDataFrame([(3, "Yes, the RED fox ran home now!"), (4, "It did.")], "doc_id bigint, text string"), short).collect()] == [(3, 1)]
+
+
+def test_units_are_learned(spark):
+    rows = [(1, ["she", "walked", str(n), "furlongs", "north"], 0) for n in (3, 8, 44)] + [(1, ["the", "north", "wind"], 0)]
+    assert learn_units(spark.createDataFrame(rows, "item_id bigint, words array<string>, key bigint")) == {"furlongs"}
 
 
 def test_defined_results(spark):
     items, docs = make()
     rows = [(i, t, 0) for i, t in docs] + [(None, docs[0][1], 0), (900, None, 0), (901, "", 0), (902, docs[0][1] * 2000, 0), (0, docs[0][1], 0)]
     corpus = spark.createDataFrame(rows, "doc_id bigint, text string, item_id int")
-    bench = spark.createDataFrame([*items, (99, None), (None, "x"), (98, "")], "item_id bigint, text string")
-    assert len(shared_item_lines(bench, "item_id", "text")) == len(_boilerplate([t.split("\n") for _, t in items]))
+    bench = spark.createDataFrame([*items, *items[:3], (99, None), (None, "x"), (98, "")], "item_id bigint, text string")
     got = [tuple(r) for r in leaked_documents(corpus, bench).collect()]
     assert len(got) == len(set(got)) and any(d == 902 for d, _ in got) and not any(d in (None, 900, 901) for d, _ in got)
-    blocks = {tuple(r) for r in leaked_documents(corpus, bench, block_rows=7).collect()}
-    assert blocks == set(got)
     assert leaked_sentences(corpus.limit(0), bench).count() == 0
     assert leaked_sentences(corpus, bench.limit(0)).count() == 0
