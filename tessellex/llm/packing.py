@@ -1,20 +1,22 @@
 """Documents into containers of fixed capacity, with as little room left as possible.
 
-Best fit in bulk-synchronous rounds, largest size first. Sizes are whole
-numbers up to the capacity, so the sorted documents and the sorted gaps are
-kept run-length coded: a run of documents of one size, a run of containers
-with one gap. A round takes one size, sweeps to the successor gap (the least
-one it fits in), places as many documents as the run has containers, and puts
-the containers back under their new gap. Which document goes where follows
-from its rank among those of its size, which is computed in parallel. What
-the driver holds is bounded by the capacity, not by the number of documents.
+Best fit in bulk-synchronous rounds over documents and containers as rows. As
+many containers as the tokens need are opened at once. A round sorts documents
+and gaps by size together and reads them as brackets: a document opens, a gap
+closes. Documents and gaps that match as brackets are placed: every gap gets
+the largest document below it that no nearer gap takes, so one sweep settles
+all conflicts by rank. Gaps shrink, and the next round begins; where nothing
+fits, new containers are opened for what is left.
+
+The depth of a bracket follows from the number of rows of each size before it
+(a table bounded by the capacity) and from its rank among those of its size;
+sizes that very many rows share are numbered in salted parts. Brackets of one
+depth, at most two per size, are then matched within a window.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, insort
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +30,7 @@ from tessellex.session import collect_bounded, cut_lineage
 #: Rank file of a public tokenizer, and the pattern that splits text before its merges.
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SIZES_SCHEMA = "doc_id bigint, part_no bigint, begin_token bigint, end_token bigint, size int, task int, nth bigint"
+SIZES_SCHEMA = "doc_id bigint, part_no bigint, begin_token bigint, end_token bigint, value int, key bigint"
 
 
 @lru_cache(maxsize=4)
@@ -44,98 +46,158 @@ def tokenizer(ranks: str, pattern: str = GPT_PATTERN):
 def token_sizes(docs: DataFrame, capacity: int, ranks: str = DEFAULT_RANKS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Items to pack: whole documents, or the parts of those over the capacity.
 
-    ``task`` and ``nth`` number the items of one size within a task.
+    ``value`` is the size; ``key`` numbers the items (task, then place in it).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = tokenizer(ranks).encode_ordinary
-        task = TaskContext.get().partitionId()
-        seen: dict[int, int] = defaultdict(int)
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 n = len(encode(text)) if text else 0
                 for part, lo in enumerate(range(0, n, capacity)):
                     hi = min(n, lo + capacity)
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), part, lo, hi, hi - lo, task, seen[hi - lo]))
-                    seen[hi - lo] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "part_no", "begin_token", "end_token", "size", "task", "nth"], dtype=object)
+                    rows.append((None if pd.isna(doc_id) else int(doc_id), part, lo, hi, hi - lo, key))
+                    key += 1
+            yield pd.DataFrame(rows, columns=["doc_id", "part_no", "begin_token", "end_token", "value", "key"], dtype=object)
 
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     return source.mapInPandas(run, SIZES_SCHEMA)
 
 
-def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best fit over run-length coded sizes and gaps.
-
-    Result: (size, first rank, end rank, first container, offset): documents
-    of that size with these ranks go, one each, to consecutive containers, at
-    that offset in them.
+def _tally(events: DataFrame, capacity: int) -> dict[tuple[int, int], int]:
+    """Rows by size and kind (0 document, 1 gap)."""
+    rows = collect_bounded(events.groupBy("value", "kind").agg(F.count("*").alias("n")), 2 * (capacity + 1), "sizes up to the capacity")
+    return {(r["value"], r["kind"]): r["n"] for r in rows}
+
+
+def _numbered(events: DataFrame, tally: dict[tuple[int, int], int], part_rows: int) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """Rows with ``salt`` and ``nth`` in it, and where each (size, kind, salt) starts among its size."""
+    hot = {k: -(-n // part_rows) for k, n in tally.items() if n > part_rows}
+    if hot:
+        spark = events.sparkSession
+        parts = F.broadcast(spark.createDataFrame([(*k, n) for k, n in hot.items()], "value int, kind int, parts int"))
+        events = events.join(parts, ["value", "kind"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+        counts = collect_bounded(events.groupBy("value", "kind", "salt").agg(F.count("*").alias("n")), len(tally) + sum(hot.values()), "parts of sizes")
+        cells = sorted((r["value"], r["kind"], r["salt"], r["n"]) for r in counts)
+    else:
+        events = events.withColumn("salt", F.lit(0))
+        cells = sorted((v, k, 0, n) for (v, k), n in tally.items())
+    starts, last, at = [], None, 0
+    for value, kind, salt, n in cells:
+        at = 0 if (value, kind) != last else at
+        last = (value, kind)
+        starts.append((value, kind, salt, at))
+        at += n
+    nth = F.row_number().over(Window.partitionBy("value", "kind", "salt").orderBy("key")) - 1
+    return events.withColumn("nth", nth), starts
+
+
+def match_round(events: DataFrame, tally: dict[tuple[int, int], int], part_rows: int = 200_000) -> DataFrame:
+    """One sweep: documents (kind 0) and gaps (kind 1) with what they are matched with.
+
+    ``other``/``room``: for a matched document its container and the gap it
+    had; ``taken``: whether a gap was given to a document.
     """
-    gaps: list[int] = []  # sorted gaps that some container has
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> (first container, how many)
-    plan, opened = [], 0
-
-    def give(gap: int, first: int, n: int) -> None:
-        if gap > 0 and n > 0:
-            if not runs[gap]:
-                insort(gaps, gap)
-            runs[gap].append((first, n))
-
-    for size in sorted(counts, reverse=True):
-        left, rank = counts[size], 0
-        while left:
-            at = bisect_left(gaps, size)  # the successor sweep
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    gaps.pop(at)
-            else:  # nothing holds it: open what this size needs
-                gap, n = capacity, -(-left // (capacity // size))
-                first, opened = opened, opened + n
-            placed = min(n, left)
-            plan.append((size, rank, rank + placed, first, capacity - gap))
-            give(gap - size, first, placed)
-            give(gap, first + placed, n - placed)
-            rank, left = rank + placed, left - placed
-    return plan
-
-
-def pack_documents(docs: DataFrame, capacity: int = 2048, ranks: str = DEFAULT_RANKS, id_column: str = "doc_id", text_column: str = "text", max_plan: int = 2_000_000) -> DataFrame:
+    spark = events.sparkSession
+    numbered, starts = _numbered(events, tally, part_rows)
+    depth, base = 0, {}
+    for value, kind in sorted(tally):  # a document comes before a gap of its size: it fits
+        base[(value, kind)] = depth
+        depth += tally[(value, kind)] * (1 if kind == 0 else -1)
+    rows = [(v, k, s, base[(v, k)] + (1 + at if k == 0 else -at)) for v, k, s, at in starts]
+    table = F.broadcast(spark.createDataFrame(pd.DataFrame(rows, columns=["value", "kind", "salt", "start"]), "value int, kind int, salt int, start bigint"))
+    placed = numbered.join(table, ["value", "kind", "salt"]).withColumn("depth", F.col("start") + F.when(F.col("kind") == 0, F.col("nth")).otherwise(-F.col("nth")))
+    line = Window.partitionBy("depth").orderBy("value", "kind")
+    closes = (F.col("kind") == 0) & (F.lead("kind").over(line) == 1)
+    return placed.select(
+        "value",
+        "kind",
+        "key",
+        F.when(closes, F.lead("key").over(line)).alias("other"),
+        F.when(closes, F.lead("value").over(line)).alias("room"),
+        F.coalesce((F.col("kind") == 1) & (F.lag("kind").over(line) == 0), F.lit(False)).alias("taken"),
+    )
+
+
+def place_items(items: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """``key, container, offset_token`` for items (``key``, ``value`` tokens), and the rounds it took."""
+    spark = items.sparkSession
+    events = items.select("value", F.lit(0).alias("kind"), "key")
+    tally = _tally(events, capacity)
+    done, opened, rounds, stuck = [], 0, 0, True
+    while any(kind == 0 for _, kind in tally):
+        if stuck:  # nothing fits any more: open what the tokens left need
+            left = sum(v * n for (v, kind), n in tally.items() if kind == 0)
+            fresh = -(-left // capacity)
+            gaps = spark.range(opened, opened + fresh).select(F.lit(capacity).alias("value"), F.lit(1).alias("kind"), F.col("id").alias("key"))
+            events = events.where("kind = 0").unionByName(gaps)
+            tally = {k: n for k, n in tally.items() if k[1] == 0} | {(capacity, 1): fresh}
+            opened += fresh
+        matched = cut_lineage(match_round(events, tally))
+        done.append(matched.where("other is not null").select("key", F.col("other").alias("container"), (F.lit(capacity) - F.col("room")).alias("offset_token")))
+        kept = matched.where("other is null and not taken").select("value", "kind", "key")
+        smaller = matched.where("room > value").select((F.col("room") - F.col("value")).alias("value"), F.lit(1).alias("kind"), F.col("other").alias("key"))
+        before = sum(n for (_, kind), n in tally.items() if kind == 0)
+        events = kept.unionByName(smaller)
+        tally = _tally(events, capacity)
+        stuck = before == sum(n for (_, kind), n in tally.items() if kind == 0)
+        rounds += 1
+    if not done:
+        return spark.createDataFrame([], "key bigint, container bigint, offset_token int"), 0
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out, rounds
+
+
+def pack_documents(docs: DataFrame, capacity: int = 2048, ranks: str = DEFAULT_RANKS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every document in a container of ``capacity`` tokens.
 
     Result: ``doc_id, part_no, begin_token, end_token, n_tokens, container,
     offset_token``. A document is split (into parts of the capacity and a
-    rest) only if it alone exceeds a container.
+    rest) only if it alone exceeds a container. Of a size under a 64th of the
+    capacity, one document per container is placed by itself; further ones go
+    in bundles of up to a 32nd, so that the rounds stay few in a corpus of
+    tiny texts.
 
     Null and empty texts have no tokens and give no rows; a null id stays
     null; repeated rows are packed each for itself; further columns are
     ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    # written once: ranks must not change if a task is run again
+    # written once: row keys must not change if a task is run again
     sizes = cut_lineage(token_sizes(docs, capacity, ranks, id_column, text_column))
-    tasks = sizes.groupBy("size", "task").agg(F.count("*").alias("n"))
-    counts = collect_bounded(tasks.groupBy("size").agg(F.sum("n").alias("n")), capacity, "sizes up to the capacity")
-    plan = plan_containers({r["size"]: r["n"] for r in counts}, capacity)
-    if len(plan) > max_plan:
-        raise ValueError("the plan of runs is larger than its bound")
-    schema = "size int, lo bigint, hi bigint, first bigint, offset_token bigint"
-    # runs of one size, found by the block of ranks they reach into
-    runs = F.broadcast(spark.createDataFrame(pd.DataFrame(plan, columns=["size", "lo", "hi", "first", "offset_token"]) if plan else [], schema))
-    before = F.sum("n").over(Window.partitionBy("size").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    starts = tasks.select("size", "task", F.coalesce(before, F.lit(0)).alias("start"))
-    ranked = sizes.join(starts, ["size", "task"]).withColumn("rank", F.col("start") + F.col("nth"))
-    placed = ranked.join(runs, "size").where("rank >= lo and rank < hi")
+    tally = _tally(sizes.select("value", F.lit(0).alias("kind")), capacity)
+    containers = -(-sum(v * n for (v, _), n in tally.items()) // capacity)
+    bundles = {v: capacity // 32 // v for (v, _), n in tally.items() if v * 64 < capacity and n > containers and capacity // 32 // v > 1}
+    single = sizes.where(~F.col("value").isin(list(bundles))) if bundles else sizes
+    member = single.withColumn("item", F.col("key")).withColumn("inside", F.lit(0))
+    items = single.select("key", "value")
+    if bundles:
+        small = sizes.where(F.col("value").isin(list(bundles))).withColumn("kind", F.lit(0))
+        numbered, starts = _numbered(small, {(v, 0): n for (v, _), n in tally.items() if v in bundles}, 200_000)
+        facts = spark.createDataFrame([(v, s, at, bundles[v], tally[(v, 0)]) for v, _, s, at in starts], "value int, salt int, start bigint, width int, n bigint")
+        rank = F.col("start") + F.col("nth")
+        over = rank - F.lit(containers)
+        placed = numbered.join(F.broadcast(facts), ["value", "salt"]).withColumn("rank", rank)
+        placed = placed.withColumn("at", F.when(over >= 0, F.pmod(over, F.col("width"))).otherwise(0)).withColumn("first", F.col("rank") - F.col("at"))
+        # negative keys: the size and the rank of the bundle's first document
+        placed = cut_lineage(placed.withColumn("item", -(F.col("first") * F.lit(capacity) + F.col("value"))).withColumn("inside", (F.col("at") * F.col("value")).cast("int")))
+        size = F.when(F.col("rank") < containers, F.col("value")).otherwise(F.col("value") * F.least(F.col("width").cast("bigint"), F.col("n") - F.col("first")))
+        items = items.unionByName(placed.where("at = 0").select(F.col("item").alias("key"), size.cast("int").alias("value")))
+        member = member.unionByName(placed.select(*member.columns))
+    found, _ = place_items(items, capacity)
+    placed = member.join(found.withColumnRenamed("key", "item"), "item")
     return placed.select(
         "doc_id",
         "part_no",
         "begin_token",
         "end_token",
-        F.col("size").cast("bigint").alias("n_tokens"),
-        (F.col("first") + F.col("rank") - F.col("lo")).alias("container"),
-        "offset_token",
+        F.col("value").cast("bigint").alias("n_tokens"),
+        "container",
+        (F.col("offset_token") + F.col("inside")).cast("bigint").alias("offset_token"),
     )
 
 
