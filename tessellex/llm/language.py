@@ -287,12 +287,12 @@ def training_windows(labelled: list[tuple[str, str]], languages: tuple[str, ...]
     return windows, np.array(targets)[owner]
 
 
-def fit_languages(samples: DataFrame, docs: DataFrame | None = None, max_samples: int = 10_000, max_docs: int = 2000, epochs: tuple[int, int] = (24, 3), id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> ByteNet:
+def fit_languages(samples: DataFrame, docs: DataFrame | None = None, max_samples: int = 10_000, max_docs: int = 2000, max_units: int = 12, epochs: tuple[int, int] = (24, 3), id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> ByteNet:
     """Trains the network.
 
     ``samples`` (lang, text) hold at most ``max_samples`` rows. Of ``docs``
     the ``max_docs`` labelled ones with the least hash of their id serve as
-    further training texts, where the first network confirms the label: those
+    further training texts (``max_units`` random units of each), where the first network confirms the label: those
     units that it doesn't clearly give to another language. Both bounds keep training on the driver the same at
     every size of the corpus.
     """
@@ -308,7 +308,8 @@ def fit_languages(samples: DataFrame, docs: DataFrame | None = None, max_samples
     # no task sends more than its part to the driver
     rank = F.pmod(F.xxhash64(id_column), F.lit(1 << 30))
     share = min(1.0, (1.1 * max_docs + 100) / max(1, docs.select(id_column).count()))
-    some = some.where(rank < int(share * (1 << 30))).select(id_column, label_column, text_column, rank.alias("_rank")).collect()
+    some = some.where(rank < int(share * (1 << 30))).select(id_column, label_column, text_column, rank.alias("_rank"))
+    some = collect_bounded(some, 2 * max_docs + 1000, "labelled documents to train on")
     some = sorted(some, key=lambda r: (r[3], str(r[0])))[:max_docs]
     extra = []
     for r in sorted(some, key=lambda r: str(r[0])):
@@ -318,7 +319,7 @@ def fit_languages(samples: DataFrame, docs: DataFrame | None = None, max_samples
         text = r[2]
         units = [text[a:b] for a, b in text_units(text)]
         units = [u for u in units if len(u) >= 12]
-        units = random.Random(7).sample(units, min(len(units), 12))
+        units = random.Random(7).sample(units, min(len(units), max_units))
         if units:
             best, owner = _unit_scores(net, [clean_unit(u) for u in units])
             own = best.argmax(1) == languages.index(code)
@@ -353,6 +354,16 @@ def _unit_scores(net: ByteNet, units: list[str]) -> tuple[np.ndarray, np.ndarray
 SEGMENT_SCHEMA = "doc_id bigint, segment_no bigint, begin_char bigint, end_char bigint, lang string, confidence double, sentences bigint"
 
 
+_NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
+
+
+def _signs(piece: str) -> tuple[int, int]:
+    """Letters of a piece, and signs of scripts with wide ones."""
+    if piece.isascii():
+        return len(piece.encode().translate(None, _NO_LETTERS)), 0
+    return sum(map(str.isalpha, piece)), sum(map("\u2e80".__lt__, piece))
+
+
 def _ids(column: pd.Series) -> list[int | None]:
     return [None if pd.isna(x) else int(x) for x in column]
 
@@ -393,8 +404,7 @@ class Detector:
         rows = defaultdict(list)
         for j, i in enumerate(owner):
             piece = pieces[j]
-            letters = sum(map(str.isalpha, piece)) if len(piece) < 60 else 60
-            wide = sum(c > "\u2e80" for c in piece[:30])
+            letters, wide = _signs(piece)
             weak = letters + 2 * wide < self.least or best[j] == none
             rows[i].append((*spans[j], None if weak else int(best[j]), float(conf[j]), letters + 2 * wide, j))
         for i, units in rows.items():
