@@ -502,7 +502,7 @@ def count_types(texts: list[str], votes: dict[str, str]) -> dict[tuple[str, str,
                 elif plain[-1:] != ".":
                     continue
                 kind = _type(plain[:-1].lstrip(_OPEN_SIGNS), latin)
-                if not kind or len(kind) > 15:
+                if not kind or len(kind) > 20:  # nine letters and their periods at most
                     continue
                 entry = counts[(lang, "word", kind)]
                 entry[0] += 1
@@ -547,14 +547,14 @@ def period_statistics(docs: DataFrame, votes: dict[str, str], text_column: str =
 def learn_periods(stats: DataFrame, floor: float = 1e-6) -> DataFrame:
     """Abbreviations, ordinary words, collocations and starters with their ratios.
 
-    ``floor`` is the least share of a language's tokens that a kept type has,
-    which bounds the model at ``1 / floor`` types a language, whatever the
-    corpus. Result: ``lang, role, type, can_end, numbered, llr``.
+    ``floor`` is the least share of a language's tokens that a kept ordinary
+    word has, which bounds them at ``1 / floor`` a language, whatever the
+    corpus; all else is kept however rare. Result: ``lang, role, type, can_end, numbered, llr``.
     """
     totals = stats.where("kind = 'all'").select("lang", F.col("bare").alias("n"))
     periods = stats.where("kind = 'word'").groupBy("lang").agg(F.sum("with_period").alias("n_periods"), F.sum("starts").alias("n_starts"), (F.sum("block_end") / F.greatest(F.sum("with_period"), F.lit(1))).alias("end_rate"))
     words = stats.where("kind = 'word'").join(totals, "lang").join(periods, "lang")
-    words = words.withColumn("seen", F.col("with_period") + F.col("bare")).where((F.col("seen") >= 2) & (F.col("seen") >= F.col("n") * floor) | (F.col("starts") >= F.greatest(F.lit(3), F.col("n") * floor)))
+    words = words.withColumn("seen", F.col("with_period") + F.col("bare")).where((F.col("seen") >= 2) | (F.col("starts") >= 3))
 
     def llr(both, first, second, n):
         """Dunning's ratio of a joint count against independence."""
@@ -582,7 +582,7 @@ def learn_periods(stats: DataFrame, floor: float = 1e-6) -> DataFrame:
     never_last = (expected >= enough) & (F.col("block_end") < 0.1 * expected)
     inside = (open_share >= 0.08) | never_last | dotted
     abbreviation = significant & inside & (F.col("with_period") >= 2) & ((F.col("share") >= 0.9) | dotted & (F.col("share") >= 0.2)) & (letters <= 9) & ~F.col("type").rlike("^#+$")
-    ordinary = (F.col("bare") >= 2) & (F.col("share") < 0.9) & ~abbreviation
+    ordinary = (F.col("bare") >= 2) & (F.col("share") < 0.9) & (F.col("seen") >= F.col("n") * floor) & ~abbreviation
     kept = words.select(
         "lang",
         F.when(abbreviation, "abbreviation").when(ordinary & (F.col("with_period") > 0), "ordinary").alias("role"),
