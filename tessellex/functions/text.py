@@ -31,14 +31,13 @@ def char_ngrams(text: Column, n: int) -> Column:
 
 
 def shape_dan1(word: Column) -> Column:
-    """Coarse word shape: all digits, digits inside, all caps, capitalised, lower, other."""
+    """Coarse word shape; the empty word counts as digits, one capital as upper."""
     return (
-        F.when(word.rlike(r"^[0-9]+$"), "ALL-DIGITS")
-        .when(word.rlike("[0-9]"), "DIGITS")
-        .when(word.rlike("^[A-Z]+$"), "ALLCAPS")
-        .when(word.rlike("^[A-Z]"), "CAPITALIZED")
-        .when(word.rlike("^[a-z]+$"), "LOWERCASE")
-        .otherwise("MIXEDCASE")
+        F.when(word.rlike(r"^\p{Nd}*$"), "ALL-DIGITS")
+        .when(word.rlike(r"^\p{Lu}+$"), "ALL-UPPER")
+        .when(word.rlike(r"^\p{Ll}+$"), "ALL-LOWER")
+        .when(word.rlike(r"^\p{Lu}\p{Ll}+$"), "MIXED-CASE")
+        .otherwise("OTHER")
     )
 
 

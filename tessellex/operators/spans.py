@@ -32,6 +32,22 @@ def allen(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
     )
 
 
+def interval_relation(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
+    """Relation of one interval to another; a shared end alone is inside or
+    containing, ends that touch are met; NONE where an end is null."""
+    return (
+        F.when(lo_a.isNull() | hi_a.isNull() | lo_b.isNull() | hi_b.isNull(), "NONE")
+        .when((lo_a == lo_b) & (hi_a == hi_b), "EQUAL")
+        .when((lo_a >= lo_b) & (hi_a <= hi_b), "INSIDE")
+        .when((lo_a <= lo_b) & (hi_a >= hi_b), "CONTAIN")
+        .when(lo_a > hi_b, "AFTER")
+        .when(hi_a < lo_b, "BEFORE")
+        .when(lo_a == hi_b, "BEGIN_MEET_END")
+        .when(hi_a == lo_b, "END_MEET_BEGIN")
+        .otherwise("OVERLAP")
+    )
+
+
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Pairs of overlapping intervals (lo, hi) with equal keys.
 

@@ -49,8 +49,16 @@ def unary(name: str, run, sql: str, *columns: str):
 binary("counter_union", C.union, "SELECT key, round(coalesce(a.value, 0) + coalesce(b.value, 0), 6) AS value " + J)
 binary("counter_intersection_min", C.intersection, "SELECT key, round(least(a.value, b.value), 6) AS value FROM a JOIN b USING (key)")
 binary("counter_product", C.product, "SELECT key, round(a.value * b.value, 6) AS value FROM a JOIN b USING (key)")
-binary("counter_division", C.division, "SELECT key, round(a.value / b.value, 6) AS value FROM a JOIN b USING (key)")
-binary("counter_absdiff", C.absolute_difference, "SELECT key, round(abs(coalesce(a.value, 0) - coalesce(b.value, 0)), 6) AS value " + J)
+binary("counter_division", C.division, "SELECT key, CASE WHEN b.value IS NULL THEN 'Infinity'::DOUBLE ELSE round(coalesce(a.value, 0) / b.value, 6) END AS value " + J)
+binary("counter_division_defined", C.division_defined, "SELECT key, round(coalesce(a.value, 0) / b.value, 6) AS value FROM a RIGHT JOIN b USING (key)")
+binary("counter_average", C.average, "SELECT key, (coalesce(a.value, 0) + coalesce(b.value, 0)) / 2 AS value " + J)
+query("counter_compare", AB + 'SELECT key, coalesce(a.value, 0) AS x, coalesce(b.value, 0) AS y, sign(coalesce(a.value, 0) - coalesce(b.value, 0))::INTEGER AS "order" ' + J)(lambda s, f: C.compare(*two_counters(s, f)))
+query("counter_retain_keys", AB + "SELECT key, value FROM a WHERE key IN (SELECT key FROM b)")(lambda s, f: C.retain_keys(*two_counters(s, f)))
+query("counter_remove_keys", AB + "SELECT key, value FROM a WHERE key NOT IN (SELECT key FROM b)")(lambda s, f: C.remove_keys(*two_counters(s, f)))
+query("counter_equals", AB + "SELECT coalesce(max(abs(coalesce(a.value, 0) - coalesce(b.value, 0))), 0) <= 0 AS equal " + J)(lambda s, f: C.equals(*two_counters(s, f)))
+query("counter_good_turing")(lambda s, f: C.good_turing(two_counters(s, f)[0]))
+query("counter_sample")(lambda s, f: C.sample(two_counters(s, f)[0], 1000))
+binary("counter_absdiff", C.absolute_difference, "SELECT key, round(abs(coalesce(a.value, 0) - coalesce(b.value, 0)), 6) AS value " + J + " WHERE coalesce(a.value, 0) <> coalesce(b.value, 0)")
 binary("counter_linear_comb", lambda a, b: C.linear_combination(a, 0.5, b, -0.25), "SELECT key, round(0.5 * coalesce(a.value, 0) - 0.25 * coalesce(b.value, 0), 6) AS value " + J)
 unary("counter_normalize", C.normalize, "SELECT key, round(value / (SELECT sum(value) FROM a), 6) AS value FROM a")
 unary("counter_l2_normalize", C.l2_normalize, "SELECT key, round(value / (SELECT sqrt(sum(value * value)) FROM a), 6) AS value FROM a")
@@ -58,28 +66,49 @@ unary("counter_entropy", C.entropy, "SELECT round(-sum(p * log2(p)), 6) AS entro
 unary("counter_mean_std", C.total, "SELECT sum(value) AS total, count(*) AS size, max(value) AS greatest, min(value) AS least, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM a", "mean", "deviation")
 unary("counter_retain_top", lambda a: C.retain_top(a, 50), "SELECT key, value FROM a ORDER BY value DESC, key LIMIT 50")
 unary("counter_retain_above", lambda a: C.retain_above(a, 10.0), "SELECT key, value FROM a WHERE value >= 10")
-unary("counter_keys_below", lambda a: C.keys_below(a, 3.0), "SELECT key FROM a WHERE value < 3")
+unary("counter_keys_below", lambda a: C.keys_below(a, 3.0), "SELECT key FROM a WHERE value <= 3")
+unary("counter_keys_above", lambda a: C.keys_above(a, 3.0), "SELECT key FROM a WHERE value >= 3")
+unary("counter_keys_at", lambda a: C.keys_at(a, 3.0), "SELECT key FROM a WHERE value = 3")
+unary("counter_retain_below", lambda a: C.retain_below(a, 10.0), "SELECT key, value FROM a WHERE value <= 10")
 unary("counter_argmax", C.argmax, "SELECT key, value FROM a ORDER BY value DESC, key LIMIT 1")
 unary("counter_rank", lambda a: C.ranks(a).select("key", "rank"), "SELECT key, row_number() OVER (ORDER BY value DESC, key) AS rank FROM a")
 unary("counter_tied_rank", lambda a: C.ranks(a).select("key", "tied_rank"), "SELECT key, rank() OVER (ORDER BY value DESC) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE AS tied_rank FROM a")
 unary("counter_count_counts", C.count_counts, "SELECT value, count(*) AS keys FROM a GROUP BY value")
 unary("counter_hindex", C.h_index, "SELECT max(least(value, r))::BIGINT AS h_index FROM (SELECT value, row_number() OVER (ORDER BY value DESC) AS r FROM a)")
-unary("counter_tflog", C.tf_log, "SELECT key, round(1 + ln(value), 6) AS value FROM a")
+unary("counter_tflog", C.tf_log, "SELECT key, CASE WHEN value > 0 THEN round(1 + ln(value), 6) ELSE 0 END AS value FROM a")
 unary("counter_scale_pow", lambda a: C.scale_power(a, 2.0, 0.5), "SELECT key, round(2 * sqrt(value), 6) AS value FROM a")
 
 
-@query("counter_similarities", AB + "SELECT round(sum(x * y), 6) AS dot, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS cosine, round(count(*) FILTER (ax AND ay) / count(*), 6) AS jaccard, round(sum(least(x, y)) / sum(greatest(x, y)), 6) AS weighted_jaccard FROM (SELECT coalesce(a.value, 0) AS x, coalesce(b.value, 0) AS y, a.value IS NOT NULL AS ax, b.value IS NOT NULL AS ay " + J + ")")
+@query("counter_similarities", AB + "SELECT round(coalesce(sum(x * y), 0), 6) AS dot, round(CASE WHEN sum(x * x) = 0 OR sum(y * y) = 0 THEN 0 ELSE sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) END, 6) AS cosine, round(sum(least(x, y)) / sum(greatest(x, y)), 6) AS jaccard, round(count(*) FILTER (ax AND ay) / count(*), 6) AS key_jaccard FROM (SELECT coalesce(a.value, 0) AS x, coalesce(b.value, 0) AS y, a.value IS NOT NULL AS ax, b.value IS NOT NULL AS ay " + J + ")")
 def counter_similarities(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(C.similarities(*two_counters(spark, folder)), "dot", "cosine", "jaccard", "weighted_jaccard")
+    return rounded(C.similarities(*two_counters(spark, folder)), "dot", "cosine", "jaccard", "key_jaccard")
+
+
+INFORMATION = "CASE WHEN {0} <= 0 THEN 0 WHEN {1} <= 0 THEN 'Infinity'::DOUBLE ELSE {0} * log2({0} / {1}) END"
 
 
 @query(
     "counter_divergences",
     AB
-    + ", n AS (SELECT coalesce(a.value, 0) / (SELECT sum(value) FROM a) AS p, coalesce(b.value, 0) / (SELECT sum(value) FROM b) AS q " + J + ") SELECT round(sum(CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) END), 6) AS kl, round(sum(CASE WHEN p > 0 AND q > 0 THEN -p * ln(q) END), 6) AS cross_entropy, round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2, 6) AS js FROM n",
+    + ", n AS (SELECT coalesce(a.value, 0) / (SELECT sum(value) FROM a) AS p, coalesce(b.value, 0) / (SELECT sum(value) FROM b) AS q "
+    + J
+    + f"), m AS (SELECT p, q, (p + q) / 2 AS m, 0.99 * q + 0.01 * p AS s FROM n) SELECT sum({INFORMATION.format('p', 'q')}) AS kl, round(sum({INFORMATION.format('p', 'm')} + {INFORMATION.format('q', 'm')}) / 2, 6) AS js, round(sum({INFORMATION.format('p', 's')}), 6) AS skew FROM m",
 )
 def counter_divergences(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(C.divergences(*two_counters(spark, folder)), "kl", "cross_entropy", "js")
+    return rounded(C.divergences(*two_counters(spark, folder)), "js", "skew")
+
+
+# the first counter within both, so that the divergence is finite
+@query("counter_kl", AB + f", u AS (SELECT key, coalesce(a.value, 0) AS x, coalesce(a.value, 0) + coalesce(b.value, 0) AS y {J}), n AS (SELECT x / (SELECT sum(x) FROM u) AS p, y / (SELECT sum(y) FROM u) AS q FROM u) SELECT round(sum({INFORMATION.format('p', 'q')}), 6) AS kl FROM n")
+def counter_kl(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = two_counters(spark, folder)
+    return rounded(C.divergences(a, C.union(a, b)).select("kl"), "kl")
+
+
+@query("counter_cross_entropy", AB + f", u AS (SELECT key, coalesce(a.value, 0) AS x, coalesce(a.value, 0) + coalesce(b.value, 0) AS y {J}) SELECT round(sum(CASE WHEN x <> 0 THEN x * log2(y / (SELECT sum(y) FROM u)) ELSE 0 END), 4) AS cross_entropy FROM u")
+def counter_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = two_counters(spark, folder)
+    return rounded(C.cross_entropy(a, C.union(a, b)), "cross_entropy", digits=4)
 
 
 def pair_counter(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +121,7 @@ query("counter2d_row_sum", PAIR + "SELECT k1 AS key, sum(value) AS value FROM p
 query("counter2d_col_sum", PAIR + "SELECT k2 AS key, sum(value) AS value FROM p GROUP BY 1")(lambda s, f: C.column_sums(pair_counter(s, f)))
 query("counter2d_flatten", PAIR + "SELECT k1 || '/' || k2 AS key, value FROM p")(lambda s, f: pair_counter(s, f).select(F.concat_ws("/", "k1", "k2").alias("key"), "value"))
 query("counter2d_pivot", PAIR + "SELECT k1, sum(CASE WHEN k2 = 'halden_wire' THEN value ELSE 0 END) AS halden_wire, sum(CASE WHEN k2 = 'tobar_wire' THEN value ELSE 0 END) AS tobar_wire FROM p GROUP BY 1")(lambda s, f: C.pivot(pair_counter(s, f), ["halden_wire", "tobar_wire"]))
-query("counter_pmi", PAIR + "SELECT k1, k2, round(ln(value * (SELECT sum(value) FROM p) / ((SELECT sum(value) FROM p x WHERE x.k1 = p.k1) * (SELECT sum(value) FROM p x WHERE x.k2 = p.k2))), 6) AS value FROM p")(lambda s, f: rounded(C.pmi(pair_counter(s, f)), "value"))
+query("counter_pmi", PAIR + "SELECT k1, k2, round(log2(value * (SELECT sum(value) FROM p) / ((SELECT sum(value) FROM p x WHERE x.k1 = p.k1) * (SELECT sum(value) FROM p x WHERE x.k2 = p.k2))), 6) AS value FROM p")(lambda s, f: rounded(C.pmi(pair_counter(s, f)), "value"))
 
 # ---------------------------------------------------------------- text
 
@@ -128,9 +157,9 @@ def ngram_char_topk(spark: SparkSession, folder: str) -> DataFrame:
     return grams.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(100)
 
 
-@query("wordshape_dan1", r"WITH t AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS w FROM documents) SELECT CASE WHEN regexp_matches(w, '^[0-9]+$') THEN 'ALL-DIGITS' WHEN regexp_matches(w, '[0-9]') THEN 'DIGITS' WHEN regexp_matches(w, '^[A-Z]+$') THEN 'ALLCAPS' WHEN regexp_matches(w, '^[A-Z]') THEN 'CAPITALIZED' WHEN regexp_matches(w, '^[a-z]+$') THEN 'LOWERCASE' ELSE 'MIXEDCASE' END AS shape, count(*) AS n FROM t GROUP BY 1")
+@query("wordshape_dan1", r"WITH t AS (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{Nd}]+')) AS w FROM documents) SELECT CASE WHEN regexp_matches(w, '^\p{Nd}*$') THEN 'ALL-DIGITS' WHEN regexp_matches(w, '^\p{Lu}+$') THEN 'ALL-UPPER' WHEN regexp_matches(w, '^\p{Ll}+$') THEN 'ALL-LOWER' WHEN regexp_matches(w, '^\p{Lu}\p{Ll}+$') THEN 'MIXED-CASE' ELSE 'OTHER' END AS shape, count(*) AS n FROM t GROUP BY 1")
 def wordshape_dan1(spark: SparkSession, folder: str) -> DataFrame:
-    found = T.words(table(spark, folder, "documents", "doc_id", "text"), "[A-Za-z0-9]+")
+    found = T.words(table(spark, folder, "documents", "doc_id", "text"), r"[\p{L}\p{Nd}]+")
     return found.select(T.shape_dan1(F.col("word")).alias("shape")).groupBy("shape").agg(F.count("*").alias("n"))
 
 
@@ -253,6 +282,12 @@ def allen_relation(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders", "o_orderkey", "o_custkey").select("o_orderkey", S.allen(o % 7, o % 7 + 3, c % 5, c % 5 + 4).alias("relation"))
 
 
+@query("interval_relation", "WITH x AS (SELECT o_orderkey, o_orderkey % 7 AS la, o_orderkey % 7 + 3 AS ha, o_custkey % 5 AS lb, o_custkey % 5 + 1 + o_custkey % 3 AS hb FROM orders) SELECT o_orderkey, CASE WHEN la = lb AND ha = hb THEN 'EQUAL' WHEN la = lb THEN CASE WHEN ha < hb THEN 'INSIDE' ELSE 'CONTAIN' END WHEN ha = hb THEN CASE WHEN la < lb THEN 'CONTAIN' ELSE 'INSIDE' END WHEN la > lb AND ha < hb THEN 'INSIDE' WHEN la < lb AND ha > hb THEN 'CONTAIN' WHEN la > hb THEN 'AFTER' WHEN ha < lb THEN 'BEFORE' WHEN la = hb THEN 'BEGIN_MEET_END' WHEN ha = lb THEN 'END_MEET_BEGIN' ELSE 'OVERLAP' END AS relation FROM x")
+def interval_relation(spark: SparkSession, folder: str) -> DataFrame:
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, folder, "orders", "o_orderkey", "o_custkey").select("o_orderkey", S.interval_relation(o % 7, o % 7 + 3, c % 5, c % 5 + 1 + c % 3).alias("relation"))
+
+
 # ---------------------------------------------------------------- dependency graphs
 
 DEP = "tok AS (SELECT DISTINCT doc_id, sent_id, id, form, lemma, upos, head, deprel FROM conllu_tokens WHERE regexp_matches(id, '^[0-9]+$')), e AS (SELECT doc_id || '/' || sent_id || '/' || head AS src, doc_id || '/' || sent_id || '/' || id AS dst, deprel FROM tok WHERE head > 0 AND sent_id IS NOT NULL)"
