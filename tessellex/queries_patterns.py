@@ -40,8 +40,8 @@ graph_pattern(
 )
 graph_pattern(
     "graph_pattern_sisters",
-    "{upos:NOUN} $++ {upos:ADV}=a",
-    "SELECT DISTINCT n.graph, n.idx AS node, b.idx AS a FROM n JOIN e x ON x.graph = n.graph AND x.dep = n.idx JOIN e y ON y.graph = n.graph AND y.gov = x.gov AND y.dep > x.dep JOIN n b ON b.graph = n.graph AND b.idx = y.dep AND b.upos = 'ADV' WHERE n.upos = 'NOUN'",
+    "{upos:NOUN} $++ {upos:PUNCT}=a",
+    "SELECT DISTINCT n.graph, n.idx AS node, b.idx AS a FROM n JOIN e x ON x.graph = n.graph AND x.dep = n.idx JOIN e y ON y.graph = n.graph AND y.gov = x.gov AND y.dep > x.dep JOIN n b ON b.graph = n.graph AND b.idx = y.dep AND b.upos = 'PUNCT' WHERE n.upos = 'NOUN'",
 )
 graph_pattern(
     "graph_pattern_optional_edge",

@@ -43,6 +43,8 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessellex-"))
     return frame.checkpoint(eager=True)
 
