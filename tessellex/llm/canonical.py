@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellex.session import cut_lineage
+from tessellex.session import broadcast_checked, cut_lineage
 
 # Letters of other scripts that look like Latin letters.
 GREEK_ALIKE = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"))
@@ -143,31 +144,40 @@ def normalize_segments(text: str) -> str:
 
 
 def unify_scripts(text: str) -> str:
-    """Look-alike letters take the script of their word, or of the words around.
+    """Look-alike letters take the script of their word, or of the letters around.
 
-    A word with a letter that only one script has goes to that script; a word
-    of look-alikes alone goes to the script of the nearest word that has one.
+    All look-alikes are read as Latin first, so that the result is the same
+    whatever script they came in. A word with a letter that only one script
+    has then goes to that script; a word of look-alikes alone goes to the
+    script of the nearest such letter of the text.
     """
+    if not _FOREIGN.search(text):
+        return text
+    text = text.translate(_TO_LATIN)
     if not _FOREIGN.search(text):
         return text
     counts = {k: len(p.findall(text)) for k, p in _OWN.items()}
     main = max(counts, key=lambda k: (counts[k], k == "L"))
+    marks: list[tuple[int, str]] = []
+
+    def nearest(start: int, stop: int) -> str:
+        if not marks:
+            marks.extend(sorted((m.start(), k) for k, p in _OWN.items() for m in p.finditer(text)))
+        at = bisect_left(marks, (start, ""))
+        before = start - marks[at - 1][0] if at else len(text)
+        after = bisect_left(marks, (stop, ""))
+        beyond = marks[after][0] - stop if after < len(marks) else len(text)
+        if before == beyond == len(text):
+            return main
+        return marks[at - 1][1] if before <= beyond else marks[after][1]
 
     def fix(match: re.Match) -> str:
         word = match[0]
         own = {k: len(p.findall(word)) for k, p in _OWN.items()}
         best = max(own, key=lambda k: (own[k], k == main))
         if own[best] == 0:
-            near = None
-            for span in (text[max(0, match.start() - 40) : match.start()], text[match.end() : match.end() + 40]):
-                seen = [(m.start(), k) for k, p in _OWN.items() for m in p.finditer(span)]
-                if seen:
-                    near = (max if near is None else min)(seen)[1]
-                    break
-            best = near or main
-        if best == "L":
-            return word.translate(_TO_LATIN)
-        return word.translate(_TO_LATIN).translate(_TO_CYRILLIC if best == "C" else _TO_GREEK)
+            best = nearest(*match.span())
+        return word if best == "L" else word.translate(_TO_CYRILLIC if best == "C" else _TO_GREEK)
 
     return _MIXED.sub(fix, text)
 
@@ -178,12 +188,8 @@ def canonical_text(text: str) -> str:
 
 
 def reading_key(text: str) -> str:
-    """A 128-bit key: equal for texts that read the same, whatever script a
-    look-alike letter is from and however words are set apart by space."""
-    form = normalize_segments(text)
-    if _FOREIGN.search(form):
-        form = form.translate(_TO_LATIN)
-    return xxhash.xxh3_128_hexdigest(form)
+    """A 128-bit key of the one form: equal for texts that read the same."""
+    return xxhash.xxh3_128_hexdigest(canonical_text(text))
 
 
 def _map(docs: DataFrame, id_column: str, text_column: str, schema: str, make) -> DataFrame:
@@ -221,29 +227,38 @@ def reading_keys(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return _map(docs, id_column, text_column, "doc_id bigint, key string, exact string", make)
 
 
-def reading_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hot_share: float = 0.001) -> DataFrame:
+def reading_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id, class_id, exact``: the documents that read the same as one with
+    another text; the class is named by its least id, ``exact`` by the text itself."""
+    keys = cut_lineage(reading_keys(docs, id_column, text_column))
+    per = keys.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.min("exact").alias("a"), F.max("exact").alias("b")).where("a <> b")
+    return keys.join(per.select("key", "class_id"), "key").select("doc_id", "class_id", "exact")
+
+
+def reading_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", part_rows: int = 20_000, part_texts: int = 1_000) -> DataFrame:
     """Pairs of documents that read the same but differ in a character.
 
     Result: ``doc_id_a < doc_id_b``, distinct. Texts are first reduced to
     (key, exact text) groups with partial aggregation; pairs are formed
     between groups of one key, never within a group of equal texts, and only
-    then expanded to their documents. A group that holds more than
-    ``hot_share`` of all documents is salted over many tasks.
+    then expanded to their documents. A key with more than ``part_texts``
+    texts, and a text with more than ``part_rows`` documents, are salted into
+    parts of about that size, whatever the corpus.
     """
-    keys = reading_keys(docs, id_column, text_column)
-    keys = cut_lineage(keys)
+    keys = cut_lineage(reading_keys(docs, id_column, text_column))
     groups = keys.groupBy("key", "exact").agg(F.count("*").alias("n"))
-    variants = groups.select("key", F.col("exact").alias("exact_a"), F.col("n").alias("n_a")).join(groups.select("key", F.col("exact").alias("exact_b"), F.col("n").alias("n_b")), "key")
-    variants = variants.where("exact_a < exact_b")
-    total = keys.count()
-    share = max(1000, int(total * hot_share))
-    salts = lambda n: F.ceil(F.col(n) / share).cast("int")
-    # at most 1 / hot_share groups can be hot, so their list is bounded
-    hot = F.broadcast(groups.where(F.col("n") > share).select("exact", salts("n").alias("salts")))
+    # only keys of several texts go on
+    several = groups.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    groups = groups.join(several, "key").withColumn("parts", F.ceil(F.col("texts") / part_texts).cast("int"))
+    left = groups.select("key", F.col("exact").alias("exact_a"), F.col("n").alias("n_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = groups.select("key", F.col("exact").alias("exact_b"), F.col("n").alias("n_b"), F.pmod(F.xxhash64("exact"), F.col("parts")).cast("int").alias("part"))
+    variants = left.join(right, ["key", "part"]).where("exact_a < exact_b").drop("key", "part")
+    salts = lambda n: F.ceil(F.col(n) / part_rows).cast("int")
+    hot = broadcast_checked(groups.where(F.col("n") > part_rows).select("exact", salts("n").alias("salts")), 200_000)
     members = keys.join(hot, "exact", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int")).select("doc_id", "exact", "salt")
     spread = variants.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts("n_a") - 1, F.lit(0)))))
-    left = spread.withColumnRenamed("exact_a", "exact").join(members, ["exact", "salt"]).select(F.col("doc_id").alias("a"), F.col("exact_b").alias("exact"), "n_b")
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts("n_b") - 1, F.lit(0)))))
-    both = left.join(members.withColumnRenamed("doc_id", "b"), ["exact", "salt"])
+    first = spread.withColumnRenamed("exact_a", "exact").join(members, ["exact", "salt"]).select(F.col("doc_id").alias("a"), F.col("exact_b").alias("exact"), "n_b")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts("n_b") - 1, F.lit(0)))))
+    both = first.join(members.withColumnRenamed("doc_id", "b"), ["exact", "salt"])
     pairs = both.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).where("doc_id_a < doc_id_b")
     return pairs.distinct()

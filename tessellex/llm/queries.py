@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellex.llm.canonical import canonical_documents, reading_pairs
+from tessellex.llm.canonical import canonical_documents, reading_classes, reading_pairs
 from tessellex.llm.language import document_languages, fit_languages, language_segments, wrongly_labelled
 from tessellex.llm.leakage import leaked_documents, leaked_sentences
 from tessellex.llm.packing import container_fill, pack_documents
@@ -57,6 +57,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading_pairs(table(spark, folder, "documents", "doc_id", "text"))
 
 
+@query("p5_classes")
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_classes(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @query("p5_texts")
 def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_documents(table(spark, folder, "documents", "doc_id", "text"))

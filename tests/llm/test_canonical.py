@@ -4,7 +4,7 @@ import itertools
 import random
 import unicodedata
 
-from tessellex.llm.canonical import canonical_text, normalize_segments, reading_key, reading_keys, reading_pairs
+from tessellex.llm.canonical import canonical_text, normalize_segments, reading_classes, reading_key, reading_keys, reading_pairs
 
 
 def test_spliced_equals_whole_normalization():
@@ -51,13 +51,23 @@ def test_pairs_against_all_pairs(spark):
     change = [lambda t: t, lambda t: t.replace(" ", "\u2009"), lambda t: unicodedata.normalize("NFD", t), lambda t: t.replace("a", "а"), lambda t: t + "\u200b", str.upper]
     texts = [rng.choice(change)(rng.choice(base)) for _ in range(80)] + [None, "", ""]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, key string")
-    got = [tuple(r) for r in reading_pairs(docs, hot_share=0.001).collect()]
+    got = [tuple(r) for r in reading_pairs(docs, part_rows=3, part_texts=2).collect()]
     want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if texts[a] is not None and texts[b] is not None and texts[a] != texts[b] and reading_key(texts[a]) == reading_key(texts[b])}
     assert len(got) == len(set(got)) and set(got) == want and want
-    assert reading_pairs(docs.limit(0)).count() == 0
+    assert reading_pairs(docs.limit(0)).count() == 0 and reading_classes(docs.limit(0)).count() == 0
+    classes = [tuple(r) for r in reading_classes(docs).collect()]
+    members = {}
+    for d, c, _ in classes:
+        members.setdefault(c, set()).add(d)
+    assert {(a, b) for m in members.values() for a, b in itertools.combinations(sorted(m), 2) if texts[a] != texts[b]} == want
     assert reading_keys(docs).count() == len(texts) - 1
 
 
 def test_long_text_whole():
     text = "word é " * 100_000
     assert canonical_text(text + "é") == text + "é"
+
+
+def test_a_script_far_away_decides():
+    text = "Жизнь " + "1 " * 100 + "АСЕ"
+    assert canonical_text(text) == text == canonical_text(text.replace("АСЕ", "ACE"))
