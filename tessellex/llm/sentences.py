@@ -105,14 +105,14 @@ def text_language(text: str, tokens: list[str], votes: dict[str, str]) -> tuple[
     """
     tally: Counter = Counter()
     if not text.isascii() and _EAST.search(text):
-        counts = Counter({lang: len(p.findall(text)) for lang, p in _SCRIPTS if p.search(text)})
+        counts = Counter({lang: len(p.findall(text)) for lang, p in _SCRIPTS})
         if counts["ja"] * 8 > counts["zh"]:
             counts["ja"] += counts.pop("zh", 0)
         elif counts["ja"]:
             counts["zh"] += counts.pop("ja", 0)
         tally.update({k: n for k, n in counts.items() if n})
     if not tally or len(tally) > 1 or _LATIN_WORD.search(text):
-        if _FOREIGN.search(text):  # look-alike letters
+        if not text.isascii() and _FOREIGN.search(text):  # look-alike letters
             tokens = [t.translate(_TO_LATIN) for t in tokens]
         tally.update(filter(None, map(votes.get, tokens)))
     if not tally:
@@ -288,7 +288,7 @@ class Splitter:
         return out
 
     def _cut(self, text: str, lang: str, lowered: bool) -> list[tuple[int, int]]:
-        quotes = _quotes(text) if _QUOTE.search(text) else []
+        quotes = _quotes(text) if ('"' in text if text.isascii() else _QUOTE.search(text)) else []
         closing = {b - 1 for _, b in quotes}
         opening = {a for a, _ in quotes}
         bounds: list[int] = []
