@@ -10,6 +10,7 @@ batches of whole sentences, candidates are found by a trigger word first.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -89,7 +90,14 @@ class _Parser:
             parts.append(self.both())
         if len(parts) == 1:
             return parts[0]
-        return lambda ts, i, g, k: any(p(ts, i, g, k) for p in parts)
+
+        def either(ts, i, g, k):  # no generator: it would use up the interpreter's own stack
+            for p in parts:
+                if p(ts, i, g, k):
+                    return True
+            return False
+
+        return either
 
     def both(self) -> Matcher:
         parts = [self.row()]
@@ -134,6 +142,21 @@ class _Parser:
             low = int(found[2])
             high = low if found[3] is None else int(found[4]) if found[4] else None
         lazy = found[5] is not None
+        test = getattr(m, "single", None)
+        if test is not None:  # one token a time: counted, not recursed
+
+            def run(ts, i, g, k):
+                end = len(ts) if high is None else min(len(ts), i + high)
+                j = i
+                while j < end and test(ts[j]):
+                    j += 1
+                stops = range(i + low, j + 1) if lazy else range(j, i + low - 1, -1)
+                for stop in stops:
+                    if k(stop, g):
+                        return True
+                return False
+
+            return run
 
         def loop(ts, i, g, k, n=0):
             def more():
@@ -201,7 +224,11 @@ class _Parser:
 
     @staticmethod
     def one(test) -> Matcher:
-        return lambda ts, i, g, k: i < len(ts) and test(ts[i]) and k(i + 1, g)
+        def step(ts, i, g, k):
+            return i < len(ts) and test(ts[i]) and k(i + 1, g)
+
+        step.single = test
+        return step
 
     def node_or(self):
         parts = [self.node_and()]
@@ -256,7 +283,15 @@ class SequencePattern:
     def at(self, tokens: list[Token], start: int) -> tuple[int, dict] | None:
         """End and groups of the match that begins at a token."""
         found: list = []
-        self._match(tokens, start, {}, lambda j, g: found.append((j, g)) or True)
+        # a repeated group goes a few calls deeper for every token it takes
+        limit = sys.getrecursionlimit()
+        needed = 1000 + 40 * (len(tokens) - start)
+        if needed > limit:
+            sys.setrecursionlimit(needed)
+        try:
+            self._match(tokens, start, {}, lambda j, g: found.append((j, g)) or True)
+        finally:
+            sys.setrecursionlimit(limit)
         return found[0] if found else None
 
     def find(self, tokens: list[Token], overlapping: bool = False) -> list[tuple[int, int, dict]]:

@@ -88,3 +88,10 @@ def test_rules_over_rows(spark):
     rules = [Rule("person", "[{tag:NNP}]+", 1, result="PERSON"), Rule("place", "in (?$p [{tag:NNP}])", 2, result="PLACE", trigger="in"), Rule("lives", "[{ner:PERSON}]+ lives", stage=2)]
     got = {(r.rule, r.text, r.groups.get("p")) for r in match_rules(frame, rules).collect()}
     assert got == {("person", "Anna Bo", None), ("place", "in Rome", "Rome"), ("lives", "Anna Bo lives", None)}
+
+
+def test_long_matches():
+    tokens = [{"word": "a", "tag": "DT" if i % 2 else "NN"} for i in range(4000)] + [{"word": "end"}]
+    for pattern in ("[]* [{word:end}]", "[{word:a}]+ [{word:end}]", "([{tag:NN}] [{tag:DT}])* [{word:end}]", "([{tag:NN}] | [{tag:DT}])+? [{word:end}]"):
+        assert SequencePattern(pattern).at(tokens, 0)[0] == 4001
+    assert SequencePattern("[{word:a}]{2,5}? [{tag:DT}]").at(tokens, 0)[0] == 4 and SequencePattern("[{word:a}]{5000,}").at(tokens, 0) is None
