@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessellex.llm.canonical import _FOREIGN, _TO_LATIN, normalize_segments
 from tessellex.llm.sentences import _EAST, language_votes, text_language
-from tessellex.session import collect_bounded, cut_lineage
+from tessellex.session import broadcast_checked, collect_bounded, cut_lineage
 
 LEVELS = (1, 4)
 RANKS = LEVELS[1] - LEVELS[0] + 1
@@ -260,24 +260,20 @@ def level_edges(scores: np.ndarray, fitted: np.ndarray) -> list[float]:
     return edges
 
 
-def fit_levels(docs: DataFrame, labels: DataFrame, samples: DataFrame, max_labels: int = 50_000, least_docs: int = 3, max_words: int = 1_000_000, id_column: str = "doc_id", text_column: str = "text", level_column: str = "level") -> LevelModel:
-    """Trains the models and the regression on labelled documents.
+def fit_levels(docs: DataFrame, labels: DataFrame, samples: DataFrame, least_docs: int = 3, max_words: int = 1_000_000, max_broadcast: int = 1_000_000, id_column: str = "doc_id", text_column: str = "text", level_column: str = "level") -> LevelModel:
+    """Trains the models and the regression on all labelled documents.
 
-    Of more than ``max_labels`` labelled documents those in a share of the hash
-    range that holds about as many are used; several labels of a document are
-    averaged, levels outside the scale are moved to its ends. At most
+    Several labels of a document are averaged, levels outside the scale are
+    moved to its ends. Up to ``max_broadcast`` labelled ids are sent to the
+    documents; for more, ids and texts are shuffled. At most
     ``max_words`` telling words and as many pairs reach the driver, else an error is raised.
     """
     votes = language_votes([(r.lang, r.text) for r in collect_bounded(samples.select("lang", "text"), 10_000, "language samples") if r.lang and r.text])
     level = F.greatest(F.lit(float(LEVELS[0])), F.least(F.lit(float(LEVELS[1])), F.avg(level_column)))
     known = labels.where(F.col(level_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(level.alias("level"))
-    # about max_labels documents at most: a share of the hash range, beyond that number
-    share = min(1.0, max_labels / max(1, known.count()))
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     fold = F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
     labelled = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
-    labelled = cut_lineage(labelled.join(F.broadcast(known), "_id").select("text", "level", fold))
+    labelled = cut_lineage(labelled.join(broadcast_checked(known, max_broadcast), "_id").select("text", "level", fold))
     counts = cut_lineage(count_sequences(labelled, votes))
     model = LevelModel(votes)
     docs_by: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(FOLDS * RANKS))

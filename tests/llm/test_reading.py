@@ -65,3 +65,15 @@ def test_rates_of_two_registers():
     counts = np.stack([60 * SHARES, 60 * (1 - SHARES), np.full(4, 30.0)])
     rates, gain = fit_rates(counts, docs)
     assert np.allclose(rates, [[0, 0.6], [0.6, 0], [0.3, 0.3]], atol=0.02) and gain[2] < 1e-6 < 20 < gain[:2].min()
+
+
+def test_all_labels_are_used(spark):
+    n = 60_000
+    docs = spark.range(n).selectExpr("id as doc_id", "if(id % 2 = 0, 'the warm bun', 'the lengthy tribunal') as text")
+    labels = docs.selectExpr("doc_id", "cast(if(doc_id % 2 = 0, 1, 4) as int) as level")
+    samples = spark.createDataFrame([("en", " ".join(EASY + HARD))] * 3, "lang string, text string")
+    sent = fit_levels(docs, labels, samples, least_docs=n // 2)
+    shuffled = fit_levels(docs, labels, samples, least_docs=n // 2, max_broadcast=100)
+    for model in (sent, shuffled):
+        (own,) = model.registers.values()
+        assert {"bun", "warm", "lengthy", "tribunal"} <= set(own.ids) and own.ids.keys() == next(iter(sent.registers.values())).ids.keys()
