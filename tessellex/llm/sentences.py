@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +62,14 @@ _SCRIPTS = (
 )
 _EAST = re.compile("[\u0400-\u9fff]")
 _UPPER = re.compile("[A-Z\u00c0-\u00de\u0391-\u03a9\u0400-\u042f\uff21-\uff3a]")
-_OWN_SCRIPT = frozenset(name for name, _ in _SCRIPTS)
+_SCRIPT_NAMES = tuple(name for name, _ in _SCRIPTS)
+_OWN_SCRIPT = frozenset(_SCRIPT_NAMES)
 _LATIN_WORD = re.compile("[a-zß-ÿ]+")
+#: By UTF-16 unit: place from 1 in _SCRIPTS, after these small Latin letters, else 0.
+_SIGN_SCRIPT = np.zeros(1 << 16, np.uint8)
+for _place, _pattern in enumerate([*(p for _, p in _SCRIPTS), _LATIN_WORD], 1):
+    for _run in _pattern.finditer("".join(map(chr, range(0xD800)))):
+        _SIGN_SCRIPT[slice(*_run.span())] = _place
 
 
 @dataclass
@@ -98,22 +105,33 @@ def language_votes(samples: list[tuple[str, str]]) -> dict[str, str]:
     return votes
 
 
+def script_runs(text: str) -> list[int]:
+    """How many runs of signs of each of ``_SCRIPTS`` a text holds, then of small Latin letters."""
+    signs = _SIGN_SCRIPT.take(np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2"))
+    starts = signs[np.flatnonzero(signs[1:] != signs[:-1]) + 1]
+    runs = np.bincount(starts, minlength=len(_SCRIPTS) + 2)
+    runs[signs[:1]] += 1
+    return runs[1:].tolist()
+
+
 def text_language(text: str, tokens: list[str], votes: dict[str, str]) -> tuple[str, bool]:
     """Language by script, then by the words that only one language has.
 
     Also tells whether the text holds nothing that speaks for another one.
     """
     tally: Counter = Counter()
+    latin = 1
     if not text.isascii() and _EAST.search(text):
-        counts = Counter({lang: len(p.findall(text)) for lang, p in _SCRIPTS})
+        *runs, latin = script_runs(text)
+        counts = Counter(dict(zip(_SCRIPT_NAMES, runs)))
         if counts["ja"] * 8 > counts["zh"]:
             counts["ja"] += counts.pop("zh", 0)
         elif counts["ja"]:
             counts["zh"] += counts.pop("ja", 0)
         tally.update({k: n for k, n in counts.items() if n})
-    if not tally or len(tally) > 1 or _LATIN_WORD.search(text):
+    if not tally or len(tally) > 1 or latin:
         if not text.isascii() and _FOREIGN.search(text):  # look-alike letters
-            tokens = [t.translate(_TO_LATIN) for t in tokens]
+            tokens = [t if t.isascii() else t.translate(_TO_LATIN) for t in tokens]
         tally.update(filter(None, map(votes.get, tokens)))
     if not tally:
         return "xx", True
@@ -128,10 +146,15 @@ def block_language(block: str, tokens: list[str], votes: dict[str, str], main: s
 
 def _follows(text: str, at: int) -> str:
     """Kind of the first sign after a place: upper, lower, digit, word, other, end."""
-    at = _FIRST.match(text, at).end()
-    if at >= len(text):
-        return "end"
-    char = text[at]
+    char = text[at : at + 1]
+    if char == " ":
+        at += 1
+        char = text[at : at + 1]
+    if not char.isalnum():
+        at = _FIRST.match(text, at).end()
+        if at >= len(text):
+            return "end"
+        char = text[at]
     if char.isalpha():
         return "upper" if char.isupper() or char.istitle() else "lower" if char.islower() else "word"
     return "digit" if char.isdigit() else "other"
@@ -147,7 +170,7 @@ def _type(token: str, latin: bool = True) -> str:
     token = token.strip("\"'“”’‘«»()[],;:")
     if token.isdigit():
         return "#" if len(token) <= 2 else "##"
-    if any(c.isdigit() for c in token):
+    if not token.isalpha() and any(c.isdigit() for c in token):
         return "##"
     return token if len(token) == 1 else token.lower()
 
@@ -181,7 +204,7 @@ def _segments(block: str) -> Iterator[tuple[int, int]]:
     A break is inside a sentence if the line isn't closed and goes on in lower
     case or after a comma, or if all lines of the block are filled to one width.
     """
-    breaks = list(_LINE.finditer(block))
+    breaks = list(_LINE.finditer(block)) if "\n" in block or "\u2028" in block else ()
     if not breaks:
         yield 0, len(block)
         return
@@ -278,13 +301,15 @@ class Splitter:
         out: list[tuple[int, int]] = []
         if not text:
             return out
-        main, alone = text_language(text, text.split(), self.model.votes)
+        # only a period asks for the language
+        main, alone = text_language(text, text.split(), self.model.votes) if "." in text else ("xx", True)
         for a, b in _blocks(text):
             block = text[a:b]
-            lang = main if alone else block_language(block, block.split(), self.model.votes, main)
+            lang = main if alone or "." not in block else block_language(block, block.split(), self.model.votes, main)
             lowered = _UPPER.search(block) is None
             for c, d in _segments(block):
-                out.extend((a + c + x, a + c + y) for x, y in self._cut(block[c:d], lang, lowered))
+                lo = a + c
+                out += [(lo + x, lo + y) for x, y in self._cut(block[c:d], lang, lowered)]
         return out
 
     def _cut(self, text: str, lang: str, lowered: bool) -> list[tuple[int, int]]:
@@ -311,11 +336,13 @@ class Splitter:
                         held, attached = b, False
                 elif b > held and self._reported(text, a, b):
                     held, attached = b, True
-            end = self._closed(text, stop, opening, closing)
+            after = text[stop : stop + 2]
+            end = stop if after[:1] == " " and after[1:] not in "»\u203a" else self._closed(text, stop, opening, closing)
             if end < held or end == held and attached and at < held and end < len(text):
                 continue
             if self._ends(text, match, end, lang, lowered, quotes):
-                tail = _TAIL_SYMBOLS.match(text, end)
+                after = text[end : end + 2]
+                tail = _TAIL_SYMBOLS.match(text, end) if not after.isascii() or after.isspace() else None
                 if tail:
                     end = tail.end()
                     end = self._closed(text, end, opening, closing)
@@ -329,7 +356,7 @@ class Splitter:
             while b > a and text[b - 1].isspace():
                 b -= 1
             if b > a:
-                if out and not _LETTERS.search(text, a, b) and not any(c.isdigit() for c in text[a:b]):
+                if out and not text[a].isalpha() and not _LETTERS.search(text, a, b) and not any(c.isdigit() for c in text[a:b]):
                     out[-1] = (out[-1][0], b)  # closing marks and symbols alone
                 else:
                     out.append((a, b))
@@ -404,7 +431,7 @@ class Splitter:
             return kind in ("upper", "other") or (kind in ("word", "digit", "lower") and end > stop and kind != "lower") or "\n" in text[end : end + 3] and kind != "lower"
         spaced = nxt.isspace()
         near = text[max(0, at - 40) : at]
-        token = near.split()[-1].lstrip(_OPEN_SIGNS) if near and not near[-1].isspace() else ""
+        token = near.rsplit(None, 1)[-1].lstrip(_OPEN_SIGNS) if near and not near[-1].isspace() else ""
         if not spaced and end == stop:
             if not nxt.isalnum():
                 opener = nxt in _OPEN_SIGNS and nxt not in ")]"
@@ -427,17 +454,14 @@ class Splitter:
         kind_of = _type(token, latin)
         if not kind_of:
             return kind not in ("lower",)
-        first = _FIRST.match(text, end).end()
-        word = _LETTERS.match(text, first)
-        following = _type(word[0], latin) if word else ""
         if kind_of in ("#", "##"):
-            if (lang, following) in self.model.collocations and kind_of == "#":
+            if kind_of == "#" and (lang, _first_type(text, end, latin)) in self.model.collocations:
                 return False
             return kind != "lower" or lowered
         known = self.model.abbreviation(lang, kind_of)
         if known is None:
             if len(token.strip("(\"'“")) == 1 and token[-1:].isupper() and token[-1:].isalpha():
-                return (lang, following) in self.model.starters and kind == "upper"
+                return kind == "upper" and (lang, _first_type(text, end, latin)) in self.model.starters
             if kind == "lower" and not lowered:
                 return "." not in kind_of and (lang, kind_of) in self.model.ordinary
             if "." in kind_of and kind == "digit":
@@ -453,6 +477,12 @@ class Splitter:
         return kind in ("upper", "word", "other")
 
 
+def _first_type(text: str, at: int, latin: bool) -> str:
+    """Type of the word that opens what follows a place; empty if no word does."""
+    word = _LETTERS.match(text, _FIRST.match(text, at).end())
+    return _type(word[0], latin) if word else ""
+
+
 def _OTHER_SCRIPT(char: str) -> bool:
     return ord(char) > 0x24F and char.isalpha()
 
@@ -476,24 +506,28 @@ def count_types(texts: list[str], votes: dict[str, str]) -> dict[tuple[str, str,
     for text in texts:
         whole = text.split()
         main, alone = text_language(text, whole, votes)
-        if alone and main in ("zh", "ja"):
+        if not whole or alone and main in ("zh", "ja"):
             continue
+        if alone:
+            surface[main].update(whole)
         for a, b in _blocks(text):
             block = text[a:b]
-            tokens = block.split()
-            lang = main if alone else block_language(block, tokens, votes, main)
+            if alone:
+                lang = main
+            else:
+                tokens = block.split()
+                lang = block_language(block, tokens, votes, main)
+                if lang in ("zh", "ja"):
+                    continue
+                surface[lang].update(tokens)
             latin = lang not in _OWN_SCRIPT
-            if lang in ("zh", "ja"):
-                continue
-            surface[lang].update(tokens)
             for line in block.split("\n"):
-                first = _FIRST.match(line).end()
-                word = _LETTERS.match(line, first)
+                word = _LETTERS.match(line) or _LETTERS.match(line, _FIRST.match(line).end())
                 if word:
                     counts[(lang, "word", _type(word[0], latin))][7] += 1
             if "." not in block or _UPPER.search(block) is None and (latin or lang == "ru"):
                 continue
-            tokens.append("")
+            tokens = [*block.split(), ""]
             for i, token in [(i, t) for i, t in enumerate(tokens) if "." in t]:
                 plain = token.rstrip(_CLOSERS)
                 comma = plain[-1:] in (",", ";", ":") and plain[-2:-1] == "."

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from tessellex.llm.sentences import PeriodModel, Splitter, count_types, fit_periods, sentence_units
+from tessellex.llm import sentences
+from tessellex.llm.sentences import _LATIN_WORD, _SCRIPTS, PeriodModel, Splitter, count_types, fit_periods, script_runs, sentence_units
 
 TEXTS = {
     "en": ["Dr. Lamo Kit met Mr. Vone Tiki at 5 p.m. in town. They sold nails, etc. before noon. The cat in town sat by the stove.\n\nDr. Kit left."] * 30,
@@ -102,3 +103,17 @@ def test_words_and_starters_count_without_a_period_too():
     assert counts[("en", "word", "the")][1] == 6 and counts[("en", "word", "the")][7] == 5
     assert counts[("en", "word", "dog")][:2] == [0, 1]
     assert counts[("en", "all", "")][1] == 14
+
+
+def test_script_runs_are_those_of_the_patterns():
+    rng = random.Random(11)
+    signs = "aZé÷ßÿ жЖяё かカ漢字\u3400\u9fff\u4dff الؠ\u064a\u064b हि\u0963। 1.\n\U0001f600𠮷\ud800"
+    for text in ["", "a", "漢", *("".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(500))]:
+        assert script_runs(text) == [len(p.findall(text)) for p in [*(p for _, p in _SCRIPTS), _LATIN_WORD]]
+
+
+def test_language_is_not_asked_where_no_period_is(splitter, monkeypatch):
+    texts = ["こんにちは。元気ですか？はい！", "Went they? Yes!\n\nНет! Да…"]
+    known = [units(splitter, t) for t in texts]
+    monkeypatch.setattr(sentences, "text_language", None)
+    assert [units(splitter, t) for t in texts] == known == [["こんにちは。", "元気ですか？", "はい！"], ["Went they?", "Yes!", "Нет!", "Да…"]]
