@@ -1,10 +1,12 @@
 """Tokens, sentences, stems, lemmas and spelling."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
-from tessellex.operators.tokenize import TokenOptions, americanize, annotate_tokens, detokenize, lemma, split_sentences, stem, tokenize
+from tessellex.operators.tokenize import TokenOptions, americanize, annotate_tokens, detokenize, lemma, split_sentences, stem, token_batches, token_counts, tokenize
 
 
 def words(text, **options):
@@ -60,6 +62,29 @@ def test_text_is_rebuilt(spark):
     assert annotate_tokens(docs.limit(0)).count() == 0
 
 
+def test_counts_are_the_sizes_of_the_arrays(spark):
+    texts = ["Dr. Kit can't. “Go,” she said.\n\nNo end", "a\n\n\nb", "", None, "我去。你也去。"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "A b."), (0, "A b.")], "doc_id bigint, text string")
+    size = lambda a: None if a is None else len(a)
+    for options in (TokenOptions(ascii_quotes=True), TokenOptions(keep_newlines=True)):
+        want = [(r.doc_id, size(r.tokens), size(r.sentences)) for r in annotate_tokens(docs, options).collect()]
+        assert [tuple(r) for r in token_counts(docs, options).collect()] == want
+    assert want[3] == (3, None, None) and want[2] == (2, 0, 0)
+
+
+def test_workers_hold_few_tokens_at_a_time():
+    text = "the gate by the old mill was shut. " * 60
+    batch = pa.RecordBatch.from_arrays([pa.array(range(250), pa.int64()), pa.array([text] * 250)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        sizes = [(b.num_rows, len(b.column(1).values)) for b in token_batches(iter([batch]))]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(n for n, _ in sizes) == 250 and sum(t for _, t in sizes) == 250 * 60 * 9
+    assert max(t for _, t in sizes) < 51_000 and most < 40_000_000  # as dicts at once they took 52 MB
+
+
 def test_stems_lemmas_spelling():
     assert [stem(w) for w in "caresses ponies cats agreed plastered motoring conflated hopping happy relational vietnamization triplicate hopeful revival adjustment probate controll".split()] == "caress poni cat agre plaster motor conflat hop happi relat vietnam triplic hope reviv adjust probat control".split()
     assert [lemma(*x) for x in (("went", "VBD"), ("stopped", "VBD"), ("tied", "VBD"), ("cities", "NNS"), ("boxes", "NNS"), ("running", "VBG"), ("hoped", "VBD"), ("happier", "JJR"), ("Rivers", "NNPS"), ("opened", "VBD"))] == ["go", "stop", "tie", "city", "box", "run", "hope", "happy", "Rivers", "open"]
