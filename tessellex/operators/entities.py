@@ -181,8 +181,10 @@ def name_chains(mentions: DataFrame, doc: str = "doc_id", text: str = "text") ->
     """
     names = mentions.where(F.col(text).isNotNull()).groupBy(F.col(doc).alias("doc_id"), F.col(text).alias("name")).agg(F.count("*").alias("mentions"))
     words = F.split("name", " ")
-    ends = names.select("doc_id", "name", F.explode(F.array_distinct(F.array(F.element_at(words, -1), F.element_at(words, 1)))).alias("short")).where("name <> short")
-    longest = F.row_number().over(Window.partitionBy("doc_id", "short").orderBy(F.desc(F.length("name")), "name"))
-    target = ends.withColumn("r", longest).where("r = 1").select("doc_id", F.col("short").alias("name"), F.col("name").alias("representative"))
-    out = names.join(target, ["doc_id", "name"], "left")
+    # each name stands for itself and, where the document is known, for its ends; one aggregate instead of a join with itself
+    ends = F.when(F.col("doc_id").isNull(), F.array("name")).otherwise(F.array_distinct(F.array(F.col("name"), F.element_at(words, -1), F.element_at(words, 1))))
+    rows = names.select("doc_id", F.col("name").alias("long"), "mentions", F.explode(ends).alias("name"))
+    own = F.col("long") == F.col("name")
+    longest = F.min(F.when(~own, F.struct((-F.length("long")).alias("n"), "long")))["long"]
+    out = rows.groupBy("doc_id", "name").agg(F.max(F.when(own, F.col("mentions"))).alias("mentions"), longest.alias("representative")).where("mentions IS NOT NULL")
     return out.select("doc_id", F.coalesce("representative", "name").alias("representative"), "name", "mentions")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellex.operators import entities, normalize
-from tessellex.operators.tokenize import TokenOptions, annotate_tokens, lemma, stem
+from tessellex.operators.tokenize import TokenOptions, annotate_tokens, capital_tokens, lemma, stem
 
 Frames = dict[str, DataFrame]
 
@@ -94,12 +94,13 @@ def _docdate(frames: Frames, props: dict[str, str]) -> Frames:
 @annotator("tokenize")
 def _tokenize(frames: Frames, props: dict[str, str]) -> Frames:
     options = TokenOptions(ptb3_escaping=_flag(props, "tokenize.ptb3Escaping"), ascii_quotes=_flag(props, "tokenize.asciiQuotes"), americanize=_flag(props, "tokenize.americanize"), split_hyphenated=_flag(props, "tokenize.splitHyphenated"))
-    rows = annotate_tokens(frames["documents"], options, props.get("ssplit.newlineIsSentenceBreak", "TWO_CONSECUTIVE").upper())
+    policy = props.get("ssplit.newlineIsSentenceBreak", "TWO_CONSECUTIVE").upper()
+    rows = annotate_tokens(frames["documents"], options, policy)
     sentences = rows.select("doc_id", F.posexplode("sentences").alias("sentence", "s")).select("doc_id", "sentence", "s.begin_token", "s.end_token")
     number = F.transform("sentences", lambda s: s["begin_token"])
     tokens = rows.select("doc_id", F.explode("tokens").alias("t"), number.alias("begins"))
     sentence = F.size(F.filter("begins", lambda b: b <= F.col("t.idx"))) - 1
-    return {"annotated": rows, "sentences": sentences, "tokens": tokens.select("doc_id", sentence.alias("sentence"), "t.*")}
+    return {"annotated": rows, "sentences": sentences, "tokens": tokens.select("doc_id", sentence.alias("sentence"), "t.*"), "capitals": capital_tokens(frames["documents"], options, policy)}
 
 
 @annotator("ssplit", "tokenize")
@@ -183,7 +184,12 @@ def _mentions(frames: Frames, props: dict[str, str]) -> Frames:
 
 @annotator("coref", "entitymentions")
 def _coref(frames: Frames, props: dict[str, str]) -> Frames:
-    return {"chains": entities.name_chains(frames["mentions"].where("label = 'PERSON'"))}
+    """Chains of the PERSON mentions. Without a lexicon only tokens in capitals can
+    be names, so only those are read; other tokens part mentions by their gaps."""
+    named = frames if "tag_lexicon" in frames else frames | _pos({"tokens": frames["capitals"]}, props)
+    named = _ner({"tokens": named["tokens"].where("tag = 'NNP'").select("doc_id", "sentence", "idx", "word", "tag", "begin_char", "end_char"), "times": frames["times"]}, props)
+    mentions = entities.entity_mentions(named["tokens"].where("ner = 'PERSON'"), ["doc_id", "sentence"], "idx", "ner", "word", "value")
+    return {"chains": entities.name_chains(mentions)}
 
 
 @annotator("quote")

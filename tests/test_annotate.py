@@ -96,6 +96,19 @@ def test_gazetteer_reaches_marks_unspaced_scripts_and_long_phrases(spark):
     assert {tuple(r) for r in gazetteer_matches(docs, many).collect()} == got
 
 
+def test_chains_come_from_capitals_in_one_pass_over_the_texts(spark):
+    texts = ["He met Anna Kit in Rome. Kit, “Anna” and May 2020 came.\n\nBo Anna Kit", "see Ab Cd\n\nEf Gh. In The Hall", None, ""]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, doc_date string")
+    out = Pipeline({"annotators": "coref"}).annotate(docs)
+    mentions = {(r.doc_id, r.text) for r in out["mentions"].where("label = 'PERSON'").collect()}
+    chains = {(r.doc_id, r.name): (r.representative, r.mentions) for r in out["chains"].collect()}
+    assert set(chains) == mentions and chains[0, "Kit"] == ("Bo Anna Kit", 1) and (0, "May") not in chains
+    nameless = spark.createDataFrame([(None, "Anna Kit"), (None, "Kit"), (1, "Kit")], "doc_id int, text string")
+    assert {(r.doc_id, r.name, r.representative) for r in name_chains(nameless).collect()} == {(None, "Anna Kit", "Anna Kit"), (None, "Kit", "Kit"), (1, "Kit", "Kit")}
+    plan = out["chains"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 2  # tokens and times; were read twice each
+
+
 def test_plan():
     assert plan(["entitymentions"]) == ["tokenize", "pos", "lemma", "docdate", "time", "ner", "entitymentions"]
     with pytest.raises(ValueError):
