@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellex.session import broadcast_checked
+from tessellex.session import broadcast_checked, cut_lineage
 
 
 #: Scripts that are written without spaces; each of their letters and digits is a word.
@@ -149,18 +149,18 @@ def annotate_quotes(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def open_triples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Subject–verb–object triples of dependency graphs: ``graph, subject, relation, object``.
 
-    Arguments are the heads with the words right below them, in word order.
+    Arguments are the heads with the words right below them, in word order. The
+    tables and the arguments are checkpointed, so that plans stay short.
     """
-    from tessellex.operators.patterns import GraphPatterns
-
-    found = GraphPatterns(nodes, edges).find("{} >/nsubj.*/ {}=s >/obj|obl|xcomp/ {}=o")
-    near = edges.select("graph", F.col("gov").alias("head"), F.col("dep").alias("idx")).unionByName(nodes.select("graph", F.col("idx").alias("head"), "idx"))
+    nodes, edges = cut_lineage(nodes.select("graph", "idx", "form", "upos")), cut_lineage(edges)
+    near = edges.select("graph", F.col("gov").alias("head"), F.col("dep").alias("idx"), F.lit(False).alias("own")).unionByName(nodes.select("graph", F.col("idx").alias("head"), "idx", F.lit(True).alias("own")))
     words = near.join(nodes.select("graph", "idx", "form"), ["graph", "idx"])
-    phrase = words.groupBy("graph", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "form"))), lambda x: x["form"]), " ").alias("phrase"))
-    rows = found.join(phrase.select("graph", F.col("head").alias("s"), F.col("phrase").alias("subject")), ["graph", "s"])
-    rows = rows.join(phrase.select("graph", F.col("head").alias("o"), F.col("phrase").alias("object")), ["graph", "o"])
-    verb = nodes.select("graph", F.col("idx").alias("node"), F.col("form").alias("relation"))
-    return rows.join(verb, ["graph", "node"]).select("graph", "subject", "relation", "object").distinct()
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "form"))), lambda x: x["form"]), " ")
+    phrase = words.groupBy("graph", F.col("head").alias("dep")).agg(text.alias("phrase"), F.bool_or("own").alias("own")).where("own").drop("own")
+    subject, object_ = F.col("reln").rlike("^(?:nsubj.*)$"), F.col("reln").rlike("^(?:obj|obl|xcomp)$")
+    ends = cut_lineage(edges.where(subject | object_).join(phrase, ["graph", "dep"]).select("graph", F.col("gov").alias("idx"), "reln", "phrase"))
+    rows = ends.where(subject).select("graph", "idx", F.col("phrase").alias("subject")).join(ends.where(object_).select("graph", "idx", F.col("phrase").alias("object")), ["graph", "idx"])
+    return rows.join(nodes.select("graph", "idx", F.col("form").alias("relation")), ["graph", "idx"]).select("graph", "subject", "relation", "object").distinct()
 
 
 def truecase_table(tokens: DataFrame, word: str = "word") -> DataFrame:

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from tessellex.operators.entities import annotate_quotes, entity_links, entity_mentions, find_quotes, gazetteer_matches, name_chains, phrase_table, truecase_table
+from tessellex.operators.entities import annotate_quotes, entity_links, entity_mentions, find_quotes, gazetteer_matches, name_chains, open_triples, phrase_table, truecase_table
 from tessellex.operators.normalize import annotate_times, find_times, normalize_money, parse_number
 from tessellex.plans.pipeline import Pipeline, plan
 
@@ -109,6 +109,14 @@ def test_chains_come_from_capitals_in_one_pass_over_the_texts(spark):
     assert plan.count("MapInArrow") + plan.count("MapInPandas") == 2  # tokens and times; were read twice each
 
 
+def test_triples_have_a_short_plan(spark):
+    nodes = spark.createDataFrame([("g", 1, "Old", "ADJ"), ("g", 2, "Anna", "PROPN"), ("g", 3, "sees", "VERB"), ("g", 4, "it", "PRON"), ("h", 1, "go", "VERB")], "graph string, idx int, form string, upos string")
+    edges = spark.createDataFrame([("g", 2, 1, "amod"), ("g", 3, 2, "nsubj:pass"), ("g", 3, 4, "obj"), ("g", 3, 9, "obl"), ("g", 9, 4, "det"), ("h", 1, 2, "nsubj")], "graph string, gov int, dep int, reln string")
+    found = open_triples(nodes, edges)
+    assert [tuple(r) for r in found.collect()] == [("g", "Old Anna", "sees", "it")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # one plan held all joins before
+
+
 def test_plan():
     assert plan(["entitymentions"]) == ["tokenize", "pos", "lemma", "docdate", "time", "ner", "entitymentions"]
     with pytest.raises(ValueError):
